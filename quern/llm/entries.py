@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_planes
-from .storage import new_path, table
+from . import mixing, simhash, token_planes
+from .storage import new_path, table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,5 +22,21 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_documents(spark, path)
 
 
-QUERIES = {"op1_token_planes": op1_token_planes}
-ORACLE_SQL: dict[str, str] = {}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(mixing.sized(table(spark, sf_dir, "documents")), "mix-sizes")
+    return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op1_token_planes": op1_token_planes,
+    "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE_SQL,
+}

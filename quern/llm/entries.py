@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, token_planes
+from . import mixing, simhash, token_planes, warc
 from .storage import new_path, table, written
 
 
@@ -32,11 +32,36 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    found = warc.resolve(warc.assemble(warc.read_warc(spark, path, payloads=False)))
+
+    def page(metadata: str) -> F.Column:
+        return F.regexp_extract(F.col(f"{metadata}.payload").cast("string"), r"^page_id: (-?\d+)$", 1).try_cast("long")
+
+    revisit = F.col("main.type") == "revisit"
+    return found.select(
+        page("metadata").alias("page_id"), F.col("stored.main.payload_bytes").alias("payload_bytes"), F.col("stored.main.payload_digest").alias("payload_digest"),
+        F.col("main.type").alias("record_type"), F.when(revisit, page("stored.metadata")).alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_warc": op5_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op5_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d FROM p),
+r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS w FROM q)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN w = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN w <> page_id THEN w END AS refers_to
+FROM r
+""",
 }

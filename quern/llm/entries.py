@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, simhash, token_planes, toxicity, warc
+from . import chat, decontaminate, langid, mixing, simhash, token_planes, toxicity, warc, weighted_sampling
 from .storage import new_path, table, written
 
 
@@ -22,6 +22,14 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_documents(spark, path)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    hard = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    talk = talk.select("conv_id", "turn", "role", "text").union(spark.createDataFrame(hard, "conv_id long, turn long, role string, text string"))
+    out = written(chat.formatted(chat.row_turns(talk)), "chats")
+    return chat.digests(chat.parsed(out))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,6 +55,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -67,14 +79,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op2_chat": op2_chat,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
+    "op6_weighted_sampling": op6_weighted_sampling,
     "op7_language": op7_language,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat": chat.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, simhash, token_planes, toxicity, warc, weighted_sampling
+from . import attribution, chat, decontaminate, langid, mixing, simhash, token_planes, toxicity, warc, weighted_sampling
 from .storage import new_path, table, written
 
 
@@ -66,6 +66,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return attribution.count_lines(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = langid.held_out(folds=4, fold=2)
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_weighted_sampling": op6_weighted_sampling,
     "op7_language": op7_language,
+    "op8_attribution": op8_attribution,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }

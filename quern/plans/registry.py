@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from quern.operators.profile import profile
+from quern.plans import cross_queries, profile_queries
+
+MODULES = [profile_queries, cross_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return profile(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

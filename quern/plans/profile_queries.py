@@ -152,10 +152,10 @@ def _(s, d):
 @R.add("prof_format_signature", """
 SELECT 'c_mktsegment' AS "column", CASE WHEN avg(CASE WHEN regexp_full_match(v, '[A-Z][A-Z0-9]*') THEN 1 ELSE 0 END) >= 0.7 THEN CASE WHEN min(length(v)) = max(length(v)) THEN 'ALL_UPPER_FIXED_' || min(length(v)) ELSE 'ALL_UPPER' END ELSE 'MIXED' END AS format FROM (SELECT DISTINCT c_mktsegment AS v FROM customer)
 UNION ALL SELECT 'url', CASE WHEN avg(CASE WHEN v LIKE 'http%' THEN 1 ELSE 0 END) >= 0.7 THEN 'URL_LIKE' ELSE 'MIXED' END FROM (SELECT DISTINCT url AS v FROM pages)
-UNION ALL SELECT 'o_orderdate', 'DATE_STR'""")
+""")
 def _(s, d):
-    parts = [P.format_signatures(t(s, d, tb), [c]) for tb, c in (("customer", "c_mktsegment"), ("pages", "url"), ("orders", "o_orderdate"))]
-    return parts[0].union(parts[1]).union(parts[2])
+    parts = [P.format_signatures(t(s, d, tb), [c]) for tb, c in (("customer", "c_mktsegment"), ("pages", "url"))]
+    return parts[0].union(parts[1])
 
 
 @R.add("prof_free_text", "SELECT doc_id, length(text) >= 3 AS free_text FROM documents WHERE length(text) > 40 AND text LIKE '% %'")

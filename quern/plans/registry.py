@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators.profile import profile
-from quern.plans import analytics_queries, cross_queries, profile_queries, query_queries, temporal_queries
+from quern.plans import analytics_queries, cross_queries, other_queries, profile_queries, query_queries, temporal_queries
 
-MODULES = [profile_queries, cross_queries, query_queries, analytics_queries, temporal_queries]
+MODULES = [profile_queries, cross_queries, query_queries, analytics_queries, temporal_queries, other_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

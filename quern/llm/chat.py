@@ -80,8 +80,12 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
 def json_paths(record: Column) -> Column:
     """Field paths of a JSON object: its keys, and the keys of the first element of known lists."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    nested = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>")), lambda k, name=name: F.concat(F.lit(f"{name}[]."), k)) for name in _LISTS]
-    return F.concat(top, *nested)
+
+    def inside(name: str) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    return F.concat(top, *map(inside, _LISTS))
 
 
 def _selected(print_: Column, of, mappings: tuple[Mapping, ...], kind: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
@@ -34,9 +35,12 @@ def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> Da
     head = [r.value for r in spark.read.text(path).limit(PREVIEW).collect()]
     if sum(1 for x in head if x.strip()) < 2:
         raise ValueError("a header and at least one row are needed")
-    sep = separator or sniff_delimiter([h.lstrip("﻿") for h in head])
+    sep = separator or sniff_delimiter([h.lstrip("\ufeff") for h in head])
     df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", False).csv(path)
-    return df.toDF(*tell_apart([c.lstrip("﻿").strip() for c in df.columns]))
+    # the reader renames repeated names, so they come from the header itself
+    names = next(csv.reader([next(x for x in head if x.strip()).lstrip("\ufeff")], delimiter=sep))
+    names = [n.strip() for n in names] if len(names) == len(df.columns) else df.columns
+    return df.toDF(*tell_apart(names))
 
 
 def from_grid(spark: SparkSession, header: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
@@ -132,7 +136,7 @@ def deduplicated(df: DataFrame, order: str) -> DataFrame:
 
 
 #: Orders of the parts of a numeric date, and how evidence for them looks.
-_DATE = r"^(\d{1,4})([/.\-])(\d{1,2})\2(\d{2,4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+_DATE = r"^(\d{1,4})([/.\-])(\d{1,2})\2(\d{1,4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
 
 
 def text_date_order(df: DataFrame, column: str, month_first: bool = True) -> DataFrame:

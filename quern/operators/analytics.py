@@ -262,3 +262,54 @@ def allocate(curves: Sequence[dict], total: float, locks: dict[str, float] | Non
         else:
             hi = mid
     return spent(math.exp(hi)) | dict(locks)
+
+
+def member_fits(points: DataFrame, group: str, member: str, period: str, x: str, y: str) -> DataFrame:
+    """(group, n, members, slope, rss): one shared slope after each member's own line over time is removed.
+
+    Members (regions, shops) of a group differ in level and trend; what is left of x and y after
+    both are taken out shares one response. All of it is window aggregates over a member's periods.
+    """
+    w = Window.partitionBy(group, member)
+    t, rows = F.col(period).cast("double"), points
+    for c in (x, y):
+        fit = F.regr_intercept(F.col(c), t).over(w) + F.regr_slope(F.col(c), t).over(w) * t
+        rows = rows.withColumn(f"__{c}", F.col(c) - F.coalesce(fit, F.avg(c).over(w)))
+    sums = rows.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(member).alias("members"), F.sum(F.col(f"__{x}") * F.col(f"__{y}")).alias("xy"), F.sum(F.pow(f"__{x}", F.lit(2))).alias("xx"), F.sum(F.pow(f"__{y}", F.lit(2))).alias("yy"))
+    slope = F.try_divide("xy", "xx")
+    return sums.select(group, "n", "members", slope.alias("slope"), F.greatest(F.lit(0.0), F.col("yy") - F.coalesce(slope, F.lit(0.0)) * F.col("xy")).alias("rss"))
+
+
+def t_quantile(df: float, p: float = 0.975) -> float:
+    """Student's t quantile, from the normal one by its expansion in 1 / df."""
+    lo, hi = 0.0, 10.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 0.5 * (1 + math.erf(mid / math.sqrt(2))) < p else (lo, mid)
+    z = (lo + hi) / 2
+    if df <= 2:
+        return math.tan(math.pi * (p - 0.5)) if df <= 1 else (2 * p - 1) * math.sqrt(2 / (1 - (2 * p - 1) ** 2))
+    return z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+
+
+def loss_interval(curves: Sequence[dict], plan: dict[str, float], best: dict[str, float]) -> dict:
+    """What ``plan`` gives up against ``best``, with a 95% interval from the parameters' covariances.
+
+    A curve is ``{name, v, k, df, cov}``; ``cov`` is that of (v, k). The plan is within reach of the
+    best if the interval holds 0.
+    """
+    delta = variance = 0.0
+    freedom, changed = math.inf, []
+    for c in curves:
+        a, b = plan[c["name"]], best[c["name"]]
+        if a == b:
+            continue
+        changed.append(c["name"])
+        freedom = min(freedom, c["df"])
+        value = lambda x, c=c: c["v"] * x / (c["k"] + x)
+        slope = lambda x, c=c: (x / (c["k"] + x), -c["v"] * x / (c["k"] + x) ** 2)
+        delta += value(b) - value(a)
+        g = [p - q for p, q in zip(slope(b), slope(a), strict=True)]
+        variance += max(0.0, sum(g[i] * c["cov"][i][j] * g[j] for i in range(2) for j in range(2)))
+    reach = (t_quantile(freedom) if changed else 0.0) * math.sqrt(variance)
+    return {"delta": delta, "lo": delta - reach, "hi": delta + reach, "within": bool(changed) and freedom < 1 or abs(delta) <= reach, "changed": changed}

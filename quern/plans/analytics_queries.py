@@ -131,6 +131,24 @@ def _(s, d):
     return s.createDataFrame(sorted(plan.items()), "channel string, budget double")
 
 
+@R.add("an_fit_members", """WITH p AS (SELECT event_type AS g, user_id % 4 AS m, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, sum(value) AS x, CAST(count(*) AS DOUBLE) AS y FROM events GROUP BY ALL),
+f AS (SELECT g, m, regr_intercept(x, t) AS xa, regr_slope(x, t) AS xb, regr_intercept(y, t) AS ya, regr_slope(y, t) AS yb, avg(x) AS xm, avg(y) AS ym FROM p GROUP BY ALL),
+r AS (SELECT p.g, p.m, x - coalesce(CASE WHEN isnan(xb) THEN NULL ELSE xa + xb * t END, xm) AS x, y - coalesce(CASE WHEN isnan(yb) THEN NULL ELSE ya + yb * t END, ym) AS y FROM p JOIN f ON p.g = f.g AND p.m = f.m)
+SELECT g, count(*) AS n, count(DISTINCT m) AS members, round(sum(x * y) / sum(x * x), 6) AS slope FROM r GROUP BY g""")
+def _(s, d):
+    e = t(s, d, "events").groupBy(F.col("event_type").alias("g"), (F.col("user_id") % 4).alias("m"), F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("t")).agg(F.sum("value").alias("x"), F.count("*").cast("double").alias("y"))
+    return A.member_fits(e, "g", "m", "t", "x", "y").select("g", "n", "members", F.round("slope", 6).alias("slope"))
+
+
+@R.add("an_loss_interval")
+def _(s, d):
+    """An even split against the best one, with an assumed spread of the fitted parameters."""
+    fits = [r for r in A.saturation_fits(_points(s, d), "channel", "spend", "outcome").collect()]
+    curves = [{"name": r.channel, "v": r.v if r.kind == "curve" else 10.0, "k": r.k if r.kind == "curve" else 100.0, "lo": 0.0, "hi": 1e6, "df": max(1, r.n - 3), "cov": [[0.01 * abs(r.v), 0], [0, 1.0]]} for r in fits]
+    got = A.loss_interval(curves, {c["name"]: 1000.0 / len(curves) for c in curves}, A.allocate(curves, 1000.0))
+    return s.createDataFrame([(float(got["delta"]), float(got["lo"]), float(got["hi"]), bool(got["within"]))], "delta double, lo double, hi double, within boolean")
+
+
 @R.add("an_row_growth", "SELECT count(*) AS rows, count(*) >= 10 * 25 AND count(*) - 25 >= 500 AS notice FROM orders")
 def _(s, d):
     return t(s, d, "orders").agg(F.count("*").alias("rows")).withColumn("notice", (F.col("rows") >= 250) & (F.col("rows") - 25 >= 500))

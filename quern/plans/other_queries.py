@@ -305,11 +305,20 @@ def _(s, d):
     return t(s, d, "orders").filter("o_totalprice > 0").select("o_orderkey", X.nice_step(F.col("o_totalprice")).alias("step"))
 
 
-@R.add("prof_ordinal_domain", "SELECT DISTINCT o_orderpriority AS value, CAST(left(o_orderpriority, 1) AS INT) AS rank FROM orders")
+@R.add("prof_ordinal_domain", "SELECT 'o_orderpriority' AS \"column\", 'numeric_rank_prefix' AS scale, list(v ORDER BY v) AS ordered FROM (SELECT DISTINCT o_orderpriority AS v FROM orders)")
 def _(s, d):
-    """Values led by a rank: 1-URGENT to 5-LOW."""
-    v = t(s, d, "orders").select(F.col("o_orderpriority").alias("value")).distinct()
-    return v.select("value", F.regexp_extract("value", r"^(\d{1,2})[ \-.:)]", 1).try_cast("int").alias("rank"))
+    from quern.operators.scales import scales
+
+    return scales(t(s, d, "orders"), ["o_orderpriority", "o_orderstatus", "o_orderkey"])
+
+
+@R.add("stream_reprofile", "SELECT 'value' AS \"column\", count(value) AS nonblank, round(avg(value), 6) AS avg, round(stddev_pop(value), 6) AS stddev, min(value) AS min, max(value) AS max FROM events")
+def _(s, d):
+    """An extension: the profile of a stream, batch by batch."""
+    from quern.streaming.reprofile import file_stream, profile_stream
+
+    found = profile_stream(file_stream(s, d, "events"), ["value"], shared(s, "stream"))
+    return found.rows(s).withColumn("avg", F.round("avg", 6)).withColumn("stddev", F.round("stddev", 6))
 
 
 # --- places

@@ -185,3 +185,34 @@ def test_geo_keys(spark):
     rows = [("02108", "02108"), ("02108-1234", "02108"), ("2108", "02108"), ("60614.0", "60614"), ("1", None), (" 501 ", "00501")]
     assert [r.z for r in values(spark, rows, "v string, want string").select(geo.zip5(F.col("v")).alias("z")).collect()] == [w for _, w in rows]
     assert geo.normal_name("Łódź, São-Paulo²") == "lodz sao paulo" and len(geo.country_rows()) > 25
+
+
+def test_scales():
+    from quern.operators.scales import scale_of
+
+    assert scale_of(["Agree", "strongly-disagree", "Neutral", "disagree", "Strongly agree"]) == ("likert5_agreement", ["strongly-disagree", "disagree", "Neutral", "Agree", "Strongly agree"])
+    assert scale_of(["Frequently", "always", "Seldom"]) == ("frequency5", ["Seldom", "Frequently", "always"])
+    assert scale_of(["M", "F"]) is None and scale_of(["2. b", "1. a", "10. c"]) == ("numeric_rank_prefix", ["1. a", "2. b", "10. c"]) and scale_of(["1.5 kg", "2.5 kg", "3.5 kg"]) is None
+    assert scale_of(["Q3", "Q1"]) == ("quarter", ["Q1", "Q3"]) and scale_of(["low", "high", "refused"]) is None
+
+
+def test_stream_profile_counts_a_batch_once(spark):
+    from quern.streaming.reprofile import StreamProfile, file_stream, windowed
+
+    p = StreamProfile(["x"])
+    for k in (0, 1, 1):
+        p.update(values(spark, [(1.0 + k,), (3.0,), (None,)], "x double"), k)
+    r = p.rows(spark).first()
+    assert (r.nonblank, r.avg, r.min, r.max) == (4, 2.25, 1.0, 3.0)
+    stream = windowed(file_stream(spark, "/root/testdata/sf0.001", "events"), "ts", ["event_type"], "value")
+    query = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("windows").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_loss_interval():
+    curve = {"name": "a", "v": 100.0, "k": 20.0, "df": 10, "cov": [[4.0, 0.0], [0.0, 1.0]]}
+    other = curve | {"name": "b", "v": 10.0}
+    got = A.loss_interval([curve, other], {"a": 0.0, "b": 100.0}, {"a": 80.0, "b": 20.0})
+    assert got["lo"] < got["delta"] < got["hi"] and not got["within"] and got["changed"] == ["a", "b"]
+    assert A.t_quantile(10) == pytest.approx(2.228, abs=0.005) and A.t_quantile(1e9) == pytest.approx(1.96, abs=0.001)

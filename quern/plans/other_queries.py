@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.operators import aggregation as A
 from quern.operators import geo as G
 from quern.operators.profile import engine_types, words_of
 from quern.plans.common import Registry, js_number_sql, t, union
@@ -190,37 +191,26 @@ def _(s, d):
 
 @R.add("agg_host_hint")
 def _(s, d):
-    prefixes = (("sum ", "sum"), ("total ", "sum"), ("average ", "avg"), ("avg. ", "avg"), ("count ", "count"), ("distinct count ", "count"), ("min ", "min"), ("minimum ", "min"), ("max ", "max"), ("maximum ", "max"))
-    names = ["Sum of Revenue", "Average of Margin", "Count of Id", "Revenue"]
-    return s.createDataFrame([(n, next((k for p, k in prefixes if n.lower().startswith(p)), None)) for n in names], "name string, hint string")
+    return s.createDataFrame([(n, A.host_hint(n)) for n in ("Sum of Revenue", "Average of Margin", "Count of Id", "Revenue")], "name string, hint string")
 
 
-RATES = {"rate", "ratio", "pct", "percent", "percentage", "margin", "share", "average", "avg", "mean", "median", "price", "score", "rating", "index", "temperature", "speed", "discount", "tax"}
-
-
-def _class_of(name: str) -> str:
-    words = words_of(name)
-    if {"lat", "latitude", "lon", "lng", "longitude"} & set(words):
-        return "suppressed"
-    return "intensive_rate" if RATES & set(words) else "additive"
-
-
-ALLOWED = {"additive": ["sum", "average", "median", "min", "max", "count"], "intensive_rate": ["average", "median", "min", "max", "count"], "suppressed": []}
+def _columns(s, d):
+    return [(c, A.additivity_of(c)) for c in [*t(s, d, "lineitem").columns, "latitude"]]
 
 
 @R.add("agg_class")
 def _(s, d):
-    return s.createDataFrame([(c, _class_of(c)) for c in [*t(s, d, "lineitem").columns, "latitude"]], "column string, additivity string")
+    return s.createDataFrame(_columns(s, d), "column string, additivity string")
 
 
 @R.add("agg_allowed")
 def _(s, d):
-    return s.createDataFrame([(c, ALLOWED[_class_of(c)]) for c in [*t(s, d, "lineitem").columns, "latitude"]], "column string, allowed array<string>")
+    return s.createDataFrame([(c, list(A.allowed(a))) for c, a in _columns(s, d)], "column string, allowed array<string>")
 
 
 @R.add("agg_default")
 def _(s, d):
-    return s.createDataFrame([(c, next(iter(ALLOWED[_class_of(c)]), None)) for c in t(s, d, "lineitem").columns], "column string, aggregation string")
+    return s.createDataFrame([(c, A.default(a)) for c, a in _columns(s, d)], "column string, aggregation string")
 
 
 # --- scalar functions

@@ -34,7 +34,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenize import MEMO_WORDS, TOGETHER, load
+from .tokenize import TOGETHER, load
+
+#: Pieces that a worker remembers at most; past it the memo is emptied and fills again.
+MEMO_PIECES = 300_000
 
 RULES = ("first", "last", "most")
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long"
@@ -46,7 +49,7 @@ _piece = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 class PieceSpans:
     """Character spans of the tokens of whole texts, for a byte-level tokenizer."""
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_words: int = MEMO_PIECES):
         self.tokenizer = load(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}

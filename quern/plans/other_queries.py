@@ -105,6 +105,15 @@ def _(s, d):
     return W.payload(e, "event_id")
 
 
+@R.add("withheld_values", """SELECT 'l_linenumber' AS "column", count(*) AS count, list(v ORDER BY v) AS "values" FROM (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) AS v FROM lineitem WHERE l_linenumber > 4) WHERE v NOT IN (SELECT CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_linenumber <= 4)""")
+def _(s, d):
+    """Values that a cut of rows left out altogether."""
+    from quern.sources.requests import withheld_values
+
+    li = t(s, d, "lineitem")
+    return withheld_values(li, li.filter("l_linenumber <= 4"), ["l_linenumber", "l_returnflag"], 20)
+
+
 # --- cleaning
 
 CELLS = ["#N/A", " #div/0! ", "#DIV/0!", "#WERT!", "#winning!", "#1", "#nv", "12", "", None, "#¡VALOR!", "# Sold"]

@@ -216,3 +216,18 @@ def test_loss_interval():
     got = A.loss_interval([curve, other], {"a": 0.0, "b": 100.0}, {"a": 80.0, "b": 20.0})
     assert got["lo"] < got["delta"] < got["hi"] and not got["within"] and got["changed"] == ["a", "b"]
     assert A.t_quantile(10) == pytest.approx(2.228, abs=0.005) and A.t_quantile(1e9) == pytest.approx(1.96, abs=0.001)
+
+
+def test_request_facts(spark):
+    from quern.sources import requests as Q
+
+    assert Q.completeness(False, 3, 0) == {"dataComplete": False, "rowsWithheld": 3} and Q.completeness(None, 1.5) == {} and Q.leaf_count(2.5) == {"leafCardinality": 3} and Q.leaf_count(0) == {}
+    assert Q.preview({"a": 1, "key": 2, "sampleCsv": "x", "shape": []}, ["key"], empty_note="nothing bound") == {"a": 1, "sampleCsv": None, "shape": [], "_note": "nothing bound"}
+    code = "const i = data.columns.findIndex(c => c.name === 'Sales'); if (i >= 0) draw(); var k = data.columns.find(c => c.name === \"City\"); row.Region;"
+    assert Q.missing_columns(code, ["Region"]) == ["City"] and Q.columns_read(code, ["Region", "Old"], ["Sales"]) == ["Region"] and Q.columns_read("x()", ["A"], ["B"]) == ["A"]
+    text = Q.store_columns([{"n": "A"}, {"n": ""}, {"n": "B", "q": "t.b"}], "de")
+    assert Q.stored_columns(text) == {"v": 1, "l": "de", "c": [{"n": "A", "q": ""}, {"n": "B", "q": "t.b"}]} and Q.stored_columns("{") is None and Q.store_columns([], "") == ""
+    kept = values(spark, [("a", 1)], "x string, y int")
+    whole = kept.union(values(spark, [("b", 1), ("c", 1), ("b", 1)], "x string, y int"))
+    assert [tuple(r) for r in Q.withheld_values(whole, kept, ["x", "y"], 20).collect()] == [("x", 2, ["b", "c"])]
+    assert [tuple(r) for r in Q.withheld_values(whole, kept, ["x", "y"], 10).collect()] == [("x", 2, None)]

@@ -109,7 +109,7 @@ def cadence(stamps: DataFrame, column: str, gap_factor: int = 5) -> DataFrame:
     expected = unit("last") - unit("first") + 1
     out = row.crossJoin(F.broadcast(tally)).withColumn("expected_points", F.when(F.col("grain") != "irregular", expected))  # one row each
     coverage = F.floor(1000.0 * F.col("points") / F.col("expected_points") + 0.5) / 10
-    return out.select("grain", "points", "expected_points", F.least(F.lit(100.0), coverage).alias("coverage_pct"), (F.col("breaks") + 1).alias("runs"), "largest_gap", "first", "last")
+    return out.select("grain", "points", "expected_points", F.when(coverage.isNotNull(), F.least(F.lit(100.0), coverage)).alias("coverage_pct"), (F.col("breaks") + 1).alias("runs"), "largest_gap", "first", "last")
 
 
 def series_completeness(df: DataFrame, series: str, stamp: str, grain: str, worst: int = 8) -> DataFrame:

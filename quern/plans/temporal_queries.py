@@ -26,8 +26,10 @@ def _(s, d):
     return o.select("o_orderkey", *(point(F.date_format("o_orderdate", f)).alias(k) for k, (f, _) in _FORMS.items()), point(F.concat(F.year("o_orderdate").cast("string"), F.lit("-Q"), F.quarter("o_orderdate").cast("string"))).alias("quarter"), point(F.lit("soon")).alias("other"))
 
 
-@R.add("t_cadence", """WITH p AS (SELECT DISTINCT o_orderdate AS x FROM orders), g AS (SELECT x, datediff('day', lag(x) OVER (ORDER BY x), x) AS u FROM p)
-SELECT 'day' AS grain, count(*) AS points, datediff('day', min(x), max(x)) + 1 AS expected_points, floor(1000.0 * count(*) / (datediff('day', min(x), max(x)) + 1) + 0.5) / 10 AS coverage_pct, count(*) FILTER (u > 5) + 1 AS runs, max(u) AS largest_gap FROM g""")
+@R.add("t_cadence", """WITH p AS (SELECT DISTINCT o_orderdate AS x FROM orders), g AS (SELECT x, lag(x) OVER (ORDER BY x) AS p FROM p), m AS (SELECT median(epoch_us(x) - epoch_us(p)) AS step FROM g),
+u AS (SELECT x, step / 864e8 BETWEEN 0.95 AND 1.05 AS daily, CASE WHEN step / 864e8 BETWEEN 0.95 AND 1.05 THEN datediff('day', p, x) ELSE round(epoch_us(x) / step) - round(epoch_us(p) / step) END AS u FROM g, m)
+SELECT CASE WHEN bool_and(daily) THEN 'day' ELSE 'irregular' END AS grain, count(*) AS points, CASE WHEN bool_and(daily) THEN datediff('day', min(x), max(x)) + 1 END AS expected_points,
+ CASE WHEN bool_and(daily) THEN floor(1000.0 * count(*) / (datediff('day', min(x), max(x)) + 1) + 0.5) / 10 END AS coverage_pct, count(*) FILTER (u > 5) + 1 AS runs, CAST(max(u) AS BIGINT) AS largest_gap FROM u""")
 def _(s, d):
     return T.cadence(t(s, d, "orders"), "o_orderdate").drop("first", "last")
 

@@ -8,6 +8,11 @@ item must go with one value of the document and the other way round, so a questi
 numbers or names throughout is found and a chance mixture is not. An item is leaked if at least
 ``SHARE`` of its windows are matched by consistent alignments.
 
+Names are known by their capitals, so windows are compared in three forms: ``TYPED``, as above;
+``OPENING``, where capitalised words that open a sentence or a quotation are names too; and
+``PLAIN``, lower-cased words without slots, whatever their case was. Forms are not mixed: an item is
+leaked if one form alone reaches the share, and the first that does gives the figures.
+
 Only DataFrame functions are used. Documents' windows are never all kept: they stream into the
 join, and only those that match an item's hash are shuffled. The item side is broadcast if it has
 at most ``BROADCAST_WINDOWS`` windows, counted first; else both sides are shuffled by hash.
@@ -37,8 +42,12 @@ UNITS = (
     "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "percent", "mph", "kmh", "degrees",
 )
 
+#: Forms of windows, in the order in which they are tried; bits, since a window can be equal in several.
+TYPED, OPENING, PLAIN = FORMS = (1, 2, 4)
+
 MARK = "\x01"
 _NAME = r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}\p{L}*)"
+_OPENING = r"(?:^|(?<=[ \"'“‘«(\[¿¡]))(\p{Lu}\p{Ll}\p{L}*)"
 _NUMBER = r"(?<![\p{L}\p{N}\x01])\p{N}(?:[\p{N}.,:/]*\p{N})?(?![\p{L}\p{N}])"
 _UNIT = rf"(?i)(\x01n[^ ]*) ?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 #: Punctuation, but for what stands between two digits.
@@ -46,29 +55,53 @@ _PUNCTUATION = r"(?:^|(?<=[\p{L} ]))[^\p{L}\p{N} \x01]+|[^\p{L}\p{N} \x01]+(?![\
 
 
 def slots(text: Column) -> Column:
-    """The text's words: lower-case, without punctuation, a slot's led by a mark and its type (n, u, a)."""
+    """The text's words: lower-case, without punctuation, a slot's led by a mark and its type (n, u, a; o opens a sentence)."""
     flat = F.regexp_replace(text, r"[\x01\x20\x09-\x0D]+", " ")
     named = F.regexp_replace(flat, _NAME, f"{MARK}a$1")
     numbered = F.regexp_replace(named, _NUMBER, f"{MARK}n$0")
     united = F.regexp_replace(numbered, _UNIT, f"$1 {MARK}u$2")
-    bare = F.regexp_replace(F.lower(united), _PUNCTUATION, " ")
+    opened = F.regexp_replace(united, _OPENING, f"{MARK}o$1")
+    bare = F.regexp_replace(F.lower(opened), _PUNCTUATION, " ")
     return F.filter(F.split(bare, " "), lambda w: w != "")
 
 
 def _windows(rows: DataFrame, keep: list[str], window: int) -> DataFrame:
-    """A row a window: ``keep``, its place, hash and (if it has a slot) its words."""
+    """A row a window and distinct hash: ``keep``, its place, hash, the forms it is the hash of, and (if it has a slot) its words."""
     words = rows.select(*keep, slots(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    typed = words.withColumn("t", F.transform("w", lambda w: F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w)))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window))
-    cells = F.transform(starts, lambda i: F.struct(F.xxhash64(*(F.get("t", i + k) for k in range(window))).alias("hash"), F.when(_any_slot(i, window), F.slice("w", i + 1, window)).alias("slots")))
-    return typed.select(*keep, F.posexplode(cells).alias("at", "cell")).select(*keep, "at", "cell.hash", "cell.slots")
-
-
-def _any_slot(i: Column, window: int) -> Column:
-    found = F.lit(False)
-    for k in range(window):
-        found = found | F.coalesce(F.startswith(F.get("t", i + k), F.lit(MARK)), F.lit(False))
-    return found
+    opens = lambda w: w.startswith(f"{MARK}o")
+    bare = lambda w: F.substring(w, 3, 1 << 30)
+    words = words.select(
+        *keep,
+        F.transform("w", lambda w: F.when(opens(w), bare(w)).otherwise(w)).alias("typed"),
+        F.transform("w", lambda w: F.when(opens(w), F.concat(F.lit(f"{MARK}a"), bare(w))).otherwise(w)).alias("opening"),
+        F.transform("w", lambda w: F.when(opens(w), OPENING).when(w.startswith(MARK), TYPED).otherwise(0)).alias("kinds"),
+    )
+
+    def kind(w: Column) -> Column:
+        return F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w)
+
+    def has(i: Column) -> Column:
+        found = F.lit(0)
+        for k in range(window):
+            found = found.bitwiseOR(F.coalesce(F.get("kinds", i + k), F.lit(0)))
+        return found
+
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("typed") - window))
+    words = words.select(
+        *keep, "typed", "opening", F.transform("typed", kind).alias("t"), F.transform("opening", kind).alias("o"),
+        F.transform("typed", lambda w: F.when(w.startswith(MARK), bare(w)).otherwise(w)).alias("p"), F.transform(starts, has).alias("has"),
+    )
+
+    def cell(i: Column, of: str, forms: Column, own: Column) -> Column:
+        return F.struct(i.alias("at"), F.xxhash64(*(F.get(of, i + k) for k in range(window))).alias("hash"), forms.alias("forms"), own.alias("slots"))
+
+    slot, opening, none = (lambda x: x.bitwiseAND(TYPED) != 0), (lambda x: x.bitwiseAND(OPENING) != 0), F.lit(None).cast("array<string>")
+    cells = F.concat(
+        F.transform("has", lambda x, i: cell(i, "t", F.lit(TYPED) + F.when(opening(x), 0).otherwise(OPENING) + F.when(slot(x), 0).otherwise(PLAIN), F.when(slot(x), F.slice("typed", i + 1, window)))),
+        F.filter(F.transform("has", lambda x, i: F.when(opening(x), cell(i, "o", F.lit(OPENING), F.slice("opening", i + 1, window)))), lambda c: c.isNotNull()),
+        F.filter(F.transform("has", lambda x, i: F.when(slot(x), cell(i, "p", F.lit(PLAIN), none))), lambda c: c.isNotNull()),
+    )
+    return words.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, share: float = SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -78,17 +111,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """
     own = _windows(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), ["item_id"], window)
     # a repeated hash of an item is kept at each place, for alignments; it counts once in the share
-    own = written(own.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")).distinct(), "item-windows")
-    sizes = own.groupBy("item_id").agg(F.countDistinct("hash").alias("windows"))
+    form = F.explode(F.filter(F.array(*map(F.lit, FORMS)), lambda f: f.bitwiseAND(F.col("forms")) != 0))
+    own = written(own.select("item_id", F.col("at").alias("item_at"), "hash", form.alias("form"), F.col("slots").alias("item_slots")).distinct(), "item-windows")
+    sizes = own.groupBy("item_id", "form").agg(F.countDistinct("hash").alias("windows"))
     side = F.broadcast(own) if own.count() <= broadcast_windows else own
     seen = _windows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], window)
-    matched = seen.join(side, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
+    matched = seen.join(side, "hash").filter(F.col("forms").bitwiseAND(F.col("form")) != 0).withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.filter(F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("item"), F.coalesce("slots", F.array().cast("array<string>")).alias("doc")), lambda p: p["item"].startswith(MARK))
-    aligned = matched.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    aligned = matched.groupBy("doc_id", "item_id", "form", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.item"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc")))
     kept = aligned.filter(one_to_one).withColumn("same", F.forall("pairs", lambda p: p["item"] == p["doc"]))
-    found = kept.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("hashes")))).alias("matched"), F.bool_and("same").alias("exact"))
-    return found.join(sizes, "item_id").filter(F.col("matched") >= share * F.col("windows")).select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), "windows", "exact")
+    found = kept.groupBy("doc_id", "item_id", "form").agg(F.size(F.array_distinct(F.flatten(F.collect_set("hashes")))).alias("matched"), F.bool_and("same").alias("exact"))
+    reached = found.join(sizes, ["item_id", "form"]).filter(F.col("matched") >= share * F.col("windows"))
+    first = reached.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", F.col("matched").cast("long").alias("matched"), "windows", "exact")).alias("first"))
+    return first.select("doc_id", "item_id", "first.matched", "first.windows", "first.exact")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

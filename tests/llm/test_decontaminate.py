@@ -106,6 +106,18 @@ def test_corpus_matches_brute_force(spark):
     assert want
 
 
+def test_letter_case_and_opening_names(spark):
+    items = spark.createDataFrame([ITEMS[0], (6, "Alice has 3 red apples. Bob gives Alice 4 apples more. Alice eats 2 of them. How many are left?")], "item_id long, text string")
+    other = ITEMS[0][1].replace("Alice", "Carol").replace("Bob", "Dave")
+    docs = [
+        (20, ITEMS[0][1].lower()), (21, "Read This: " + ITEMS[0][1].title()), (22, ITEMS[0][1].upper()), (23, other.lower()),
+        (24, "Carol has 3 red apples. Dave gives Carol 4 apples more. Carol eats 2 of them. How many are left?"),
+        (25, "Carol has 3 red apples. Dave gives Erin 4 apples more. Frank eats 2 of them. How many are left?"),
+    ]
+    got = {(r.doc_id, r.item_id, r.exact) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(20, 1, True), (21, 1, True), (22, 1, True), (24, 6, False)}
+
+
 def test_empty_tables(spark):
     docs, none = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs, none).count() == 0 and D.without_leaks(docs, none).count() == len(DOCS)

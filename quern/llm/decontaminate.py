@@ -4,9 +4,10 @@ Words become a template: numbers, units after numbers, and names (capitalised in
 are replaced with typed placeholders, the rest is lower-cased and stripped of punctuation. Windows
 of ``WINDOW`` template words of documents are hash-joined with the benchmark's. Matched windows
 carry what stood in their slots; along one alignment of document and item, each slot value of the
-item must go with one value of the document and the other way round, so a question with other
-numbers or names throughout is found and a chance mixture is not. An item is leaked if at least
-``SHARE`` of its windows are matched by consistent alignments.
+item goes with the one value of the document that most windows pair it with, and, but for numbers,
+the other way round. Windows that disagree are left out, unless their slots are equal throughout;
+so a question with other numbers or names is found and a chance mixture is not. An item is leaked
+if at least ``SHARE`` of its windows are left.
 
 Names are known by their capitals, so windows are compared in three forms: ``TYPED``, as above;
 ``OPENING``, where capitalised words that open a sentence or a quotation are names too; and
@@ -104,6 +105,17 @@ def _windows(rows: DataFrame, keep: list[str], window: int) -> DataFrame:
     return words.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*")
 
 
+def _majority(pairs: Column) -> Column:
+    """The pairs that no other pair of more votes contradicts; of equal votes the lesser pair counts."""
+    voted = F.transform(F.array_distinct(pairs), lambda p: F.struct((-F.size(F.filter(pairs, lambda x: x == p))).alias("votes"), p["item"].alias("item"), p["doc"].alias("doc")))
+
+    def beaten(p: Column) -> Column:
+        number = p["item"].startswith(f"{MARK}n")
+        return F.exists(voted, lambda q: (q < p) & ((q["item"] == p["item"]) | (~number & (q["doc"] == p["doc"]))))
+
+    return F.filter(voted, lambda p: ~beaten(p))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, share: float = SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, matched, windows, exact): leaked items of documents.
 
@@ -118,10 +130,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     seen = _windows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], window)
     matched = seen.join(side, "hash").filter(F.col("forms").bitwiseAND(F.col("form")) != 0).withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.filter(F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("item"), F.coalesce("slots", F.array().cast("array<string>")).alias("doc")), lambda p: p["item"].startswith(MARK))
-    aligned = matched.groupBy("doc_id", "item_id", "form", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.item"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc")))
-    kept = aligned.filter(one_to_one).withColumn("same", F.forall("pairs", lambda p: p["item"] == p["doc"]))
-    found = kept.groupBy("doc_id", "item_id", "form").agg(F.size(F.array_distinct(F.flatten(F.collect_set("hashes")))).alias("matched"), F.bool_and("same").alias("exact"))
+    aligned = matched.groupBy("doc_id", "item_id", "form", "shift").agg(F.collect_set(F.struct("item_at", "hash", pairs.alias("pairs"))).alias("cells"))
+    agreed = aligned.withColumn("agreed", _majority(F.flatten("cells.pairs")))
+    fits = lambda p: F.exists("agreed", lambda q: (q["item"] == p["item"]) & (q["doc"] == p["doc"]))
+    same = lambda c: F.forall(c["pairs"], lambda p: p["item"] == p["doc"])
+    left = agreed.select("doc_id", "item_id", "form", F.explode(F.filter("cells", lambda c: same(c) | F.forall(c["pairs"], fits))).alias("cell"))
+    found = left.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("cell.hash").alias("matched"), F.bool_and(same(F.col("cell"))).alias("exact"))
     reached = found.join(sizes, ["item_id", "form"]).filter(F.col("matched") >= share * F.col("windows"))
     first = reached.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", F.col("matched").cast("long").alias("matched"), "windows", "exact")).alias("first"))
     return first.select("doc_id", "item_id", "first.matched", "first.windows", "first.exact")

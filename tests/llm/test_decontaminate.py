@@ -118,6 +118,21 @@ def test_letter_case_and_opening_names(spark):
     assert got == {(20, 1, True), (21, 1, True), (22, 1, True), (24, 6, False)}
 
 
+def test_alignments_are_judged_by_share(spark):
+    apples = "On every market day the farmer sells 3 apples and 5 pears from the wooden cart near the bridge and then walks home along the river with an empty basket and a happy dog"
+    twice = "The baker Alice opens the small shop at dawn and sells fresh bread to all of the people who live on the hill, and when evening comes the baker Alice closes the door and counts the coins in the box while the cat sleeps on the warm oven"
+    items = spark.createDataFrame([(1, apples), (2, twice), (3, apples.replace("5 pears", "3 pears"))], "item_id long, text string")
+    mixed = "On every market day the farmer sells 3 apples and 5 pears while Alice naps"
+    docs = [
+        (30, apples.replace("3 apples and 5", "4 apples and 4")),  # different numbers become equal
+        (31, twice.replace("Alice closes", "Carol closes")),  # one of two equal names is edited
+        (32, apples.replace("3 apples and 5", "4 apples and 9")),  # other numbers, for item 3 equal ones that part
+        (33, mixed),
+    ]
+    got = {(r.doc_id, r.item_id, r.matched == r.windows) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(30, 1, True), (30, 3, True), (31, 2, True), (32, 1, True), (32, 3, False)}
+
+
 def test_empty_tables(spark):
     docs, none = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs, none).count() == 0 and D.without_leaks(docs, none).count() == len(DOCS)

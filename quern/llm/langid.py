@@ -4,8 +4,9 @@ A text is a vector of byte n-grams (of its lower-cased letters, words apart by o
 to a fixed number of places, weighted by damped term frequency and inverse document frequency and
 scaled to length one. Each language has several centroids, found by spherical k-means over a
 bounded sample of labelled rows; a text gets the language of the centroid with the largest cosine.
-A text is rejected if it is farther from that centroid than a text of the language can be for being
-short: the limit comes from the sample's first ``SHORT_WORDS`` words alone, and ``slack``.
+A text is rejected if it is farther from that centroid than texts of the language and of its length
+are: the limit is ``slack`` of a low quantile of the sample's cosines, by length. Lengths are powers
+of two of n-grams; the sample's texts give their first 1, 2, 4, ... words and their whole.
 
 Fitting gathers at most ``per_language`` sparse vectors a language on the driver; predicting reads
 whole texts, in pieces of fixed size, where they are. No row is shuffled.
@@ -32,9 +33,13 @@ PLACES_LOG2 = 13
 PER_LANGUAGE = 500
 CENTROIDS = 3
 ROUNDS = 12
-#: A text is rejected below this share of the smallest cosine of its language's short texts.
+#: A text is rejected below this share of the ``LOW`` quantile of its language's cosines at its length.
 SLACK = 0.5
-SHORT_WORDS = 2
+LOW = 0.01
+#: First words of the sample's texts that are measured; a length with fewer cosines than ``FEW`` takes the next shorter one's limit.
+FIRST_WORDS = tuple(1 << k for k in range(12))
+FEW = 30
+LENGTHS = 32
 #: Characters of a text that are counted at a time.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -61,12 +66,35 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return places.astype(np.int32), total[places]
 
 
+def length(n: np.ndarray) -> int:
+    """The power of two of the number of n-grams."""
+    return min(int(n.sum()).bit_length(), LENGTHS) - 1
+
+
+def first_words(text: str) -> Iterator[str]:
+    words = _not_letters.sub(" ", text[:PIECE]).split()
+    for k in FIRST_WORDS:
+        if k < len(words):
+            yield " ".join(words[:k])
+
+
+def limits(cosines: list[tuple[int, float]], slack: float) -> np.ndarray:
+    """The least cosine of each length, from (length, cosine) of a language's texts."""
+    by = [[c for at, c in cosines if at == k] for k in range(LENGTHS)]
+    enough = [slack * float(np.quantile(b, LOW)) if len(b) >= FEW else None for b in by]
+    known = [x for x in enough if x is not None]
+    out, last = np.zeros(LENGTHS), known[0] if known else slack * min((c for _, c in cosines), default=0.0)
+    for k, x in enumerate(enough):
+        out[k] = last = last if x is None else x
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    least: np.ndarray  # cosine below which a text is rejected, of each centroid
+    least: np.ndarray  # cosine below which a text is rejected, of each centroid and length
 
     def vector(self, places: np.ndarray, n: np.ndarray) -> np.ndarray:
         v = (1 + np.log(n)) * self.idf[places]
@@ -79,7 +107,7 @@ class Model:
         cosines = self.centroids[:, places] @ self.vector(places, n)
         best = int(np.argmax(cosines))
         cosine = float(cosines[best])
-        return self.languages[best], min(1.0, max(0.0, cosine)), bool(cosine < self.least[best])
+        return self.languages[best], min(1.0, max(0.0, cosine)), bool(cosine < self.least[best, length(n)])
 
 
 def _clusters(x: np.ndarray, k: int) -> np.ndarray:
@@ -106,30 +134,30 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "do
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            columns = [batch.column(0)]
-            for found in (map(counts, texts), (counts(" ".join(_not_letters.sub(" ", t[:PIECE]).split()[:SHORT_WORDS])) for t in texts)):
-                places, n = zip(*found, strict=True) if texts else ((), ())
-                columns += [pa.array([p.tolist() for p in places], pa.list_(pa.int32())), pa.array([x.tolist() for x in n], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "places", "n", "short_places", "short_n"])
+            label, place, n, part = [], [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, piece in enumerate((text, *first_words(text))):
+                    places, found = counts(piece)
+                    label.append(name), place.append(places), n.append(found), part.append(k > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(place, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64())), pa.array(part, pa.bool_())], ["label", "places", "n", "part"])
 
     # the sample has a bounded number of rows a label
     chosen = named.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text")).join(F.broadcast(sample), ["key", "label"])
-    got = chosen.select("label", "text").mapInArrow(featured, "label string, places array<int>, n array<long>, short_places array<int>, short_n array<long>").filter("size(places) > 0").toArrow()
-    labels = got["label"].to_pylist()
-    bags, short = ([(p.values.to_numpy(), n.values.to_numpy()) for p, n in zip(got[a], got[b], strict=True)] for a, b in (("places", "n"), ("short_places", "short_n")))
+    got = chosen.select("label", "text").mapInArrow(featured, "label string, places array<int>, n array<long>, part boolean").filter("size(places) > 0").toArrow()
+    every = [(name, part, (p.values.to_numpy(), n.values.to_numpy())) for name, p, n, part in zip(got["label"].to_pylist(), got["places"], got["n"], got["part"].to_pylist(), strict=True)]
+    labels, bags = [name for name, part, _ in every if not part], [bag for _, part, bag in every if not part]
     dims = 1 << PLACES_LOG2
     frequency = np.bincount(np.concatenate([p for p, _ in bags]), minlength=dims) if bags else np.zeros(dims)
-    model = Model([], np.zeros((0, dims), np.float32), np.log((1 + len(bags)) / (1 + frequency)) + 1, np.zeros(0))
+    model = Model([], np.zeros((0, dims), np.float32), np.log((1 + len(bags)) / (1 + frequency)) + 1, np.zeros((0, LENGTHS)))
     for name in sorted(set(labels)):
         x = np.zeros((labels.count(name), dims), np.float32)
         for row, (p, n) in zip(x, (b for b, own in zip(bags, labels, strict=True) if own == name), strict=True):
             row[p] = model.vector(p, n)
         c = _clusters(x, k)
-        near = [float((c[:, p] @ model.vector(p, n)).max()) for (p, n), own in zip(short, labels, strict=True) if own == name and len(p)]
+        near = [(length(n), float((c[:, p] @ model.vector(p, n)).max())) for own, _, (p, n) in every if own == name]
         model.languages += [name] * len(c)
         model.centroids = np.concatenate([model.centroids, c])
-        model.least = np.concatenate([model.least, np.full(len(c), slack * min(near, default=0.0))])
+        model.least = np.concatenate([model.least, np.tile(limits(near, slack), (len(c), 1))])
     return model
 
 

@@ -33,6 +33,19 @@ def test_language_edge_cases(spark, model):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_foreign_and_random_texts_are_rejected(spark, model):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem oraz powinni postępować wobec innych w duchu braterstwa. " * 4
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 4
+    noise = " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(200))
+    base64 = "".join(rng.choices(letters + letters.upper() + "0123456789+/", k=1500))
+    found = {name: model.predict(t) for name, t in (("polish", polish), ("finnish", finnish), ("noise", noise), ("base64", base64))}
+    assert all(rejected for _, _, rejected in found.values()), (found, model.least)
+    docs = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    assert sum(model.predict(t)[2] for t in docs) <= 0.005 * len(docs)
+
+
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
     model = langid.fit(none)

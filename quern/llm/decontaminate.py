@@ -105,15 +105,21 @@ def _windows(rows: DataFrame, keep: list[str], window: int) -> DataFrame:
     return words.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*")
 
 
-def _majority(pairs: Column) -> Column:
-    """The pairs that no other pair of more votes contradicts; of equal votes the lesser pair counts."""
-    voted = F.transform(F.array_distinct(pairs), lambda p: F.struct((-F.size(F.filter(pairs, lambda x: x == p))).alias("votes"), p["item"].alias("item"), p["doc"].alias("doc")))
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that later lambdas read as a value: a generator keeps its expression out of them."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _majority(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``agreed``: the pairs that no other of more votes contradicts; of equal votes the lesser counts."""
+    rows = _once(rows, "all", F.flatten("cells.pairs"))
+    rows = _once(rows, "voted", F.transform(F.array_distinct("all"), lambda p: F.struct((-F.size(F.filter("all", lambda x: x == p))).alias("votes"), p["item"].alias("item"), p["doc"].alias("doc"))))
 
     def beaten(p: Column) -> Column:
         number = p["item"].startswith(f"{MARK}n")
-        return F.exists(voted, lambda q: (q < p) & ((q["item"] == p["item"]) | (~number & (q["doc"] == p["doc"]))))
+        return F.exists("voted", lambda q: (q < p) & ((q["item"] == p["item"]) | (~number & (q["doc"] == p["doc"]))))
 
-    return F.filter(voted, lambda p: ~beaten(p))
+    return _once(rows, "agreed", F.filter("voted", lambda p: ~beaten(p)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, share: float = SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -131,7 +137,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     matched = seen.join(side, "hash").filter(F.col("forms").bitwiseAND(F.col("form")) != 0).withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.filter(F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("item"), F.coalesce("slots", F.array().cast("array<string>")).alias("doc")), lambda p: p["item"].startswith(MARK))
     aligned = matched.groupBy("doc_id", "item_id", "form", "shift").agg(F.collect_set(F.struct("item_at", "hash", pairs.alias("pairs"))).alias("cells"))
-    agreed = aligned.withColumn("agreed", _majority(F.flatten("cells.pairs")))
+    agreed = _majority(aligned)
     fits = lambda p: F.exists("agreed", lambda q: (q["item"] == p["item"]) & (q["doc"] == p["doc"]))
     same = lambda c: F.forall(c["pairs"], lambda p: p["item"] == p["doc"])
     left = agreed.select("doc_id", "item_id", "form", F.explode(F.filter("cells", lambda c: same(c) | F.forall(c["pairs"], fits))).alias("cell"))

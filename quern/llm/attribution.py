@@ -19,7 +19,9 @@ whole-text encoding. Texts stay where they are; no row is shuffled.
 Defined cases: null and empty texts have no section of lines and give no row from
 :func:`count_lines`; from :func:`attribute` they have their given sections with 0 tokens; empty
 sections have 0 tokens; overlapping or unordered sections raise an error; repeated rows give
-repeated rows; an empty table gives no row. Columns other than those named are not read.
+repeated rows; a very long text is encoded whole, its long pieces are not remembered; ties of the rule
+``most`` go to the earlier section; an empty table gives no row. Columns other than those named are
+not read.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenize import TOGETHER, load
+from .tokenize import ENTRY_BYTES, TOGETHER, load
 
-#: Pieces that a worker remembers at most; past it the memo is emptied and fills again.
-MEMO_PIECES = 300_000
+#: Bytes that a worker's memo takes at most, by estimate; past it the memo is emptied and fills again.
+MEMO_BYTES = 96 << 20
+#: Longer pieces are encoded but not remembered.
+LONGEST_PIECE = 256
 
 RULES = ("first", "last", "most")
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long"
@@ -49,30 +53,36 @@ _piece = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 class PieceSpans:
     """Character spans of the tokens of whole texts, for a byte-level tokenizer."""
 
-    def __init__(self, path: str, memo_words: int = MEMO_PIECES):
-        self.tokenizer = load(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+        self.tokenizer = load(path, special_as_text=True)
         self.memo: dict[str, bytes] = {}
-        self.memo_words = memo_words
+        self.memo_bytes, self.held = memo_bytes, 0
 
     def spans(self, text: str) -> np.ndarray:
         """Rows (start, end) of the text's tokens, in order."""
-        pieces, memo = _piece.findall(text), self.memo
-        missing = list({p for p in pieces if p not in memo})
-        if len(memo) + len(missing) > self.memo_words:
+        pieces, memo, own = _piece.findall(text), self.memo, {}
+        distinct = set(pieces)
+        missing = distinct.difference(memo)
+        if missing and self.held > self.memo_bytes:
             memo.clear()
-            missing = list(set(pieces))
+            self.held, missing = 0, distinct
+        missing = list(missing)
         for at in range(0, len(missing), TOGETHER):
             part = missing[at : at + TOGETHER]
             for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.offsets, "<u2" if len(p) < 65_536 else "<i8").astype("<i8").tobytes()
-        found = [memo[p] for p in pieces]
+                spans = np.array(e.offsets, "<u2" if len(p) < 65_536 else "<i8").astype("<i8").tobytes()
+                if len(p) > LONGEST_PIECE:
+                    own[p] = spans
+                else:
+                    memo[p] = spans
+                    self.held += len(p) + len(spans) + ENTRY_BYTES
+        found = [own[p] if p in own else memo[p] for p in pieces] if own else [memo[p] for p in pieces]
         spans = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
         begins = np.cumsum([0, *map(len, pieces[:-1])]) if pieces else np.empty(0, int)
         return spans + np.repeat(begins, [len(f) // 16 for f in found])[:, None]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def piece_spans(path: str) -> PieceSpans:
     return PieceSpans(path)
 

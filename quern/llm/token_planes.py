@@ -20,7 +20,7 @@ read ids. Any block can be decoded alone.
 
 Defined cases: a null text is an empty one; an empty text has only the end id; a null doc_id sorts
 first and is kept; rows that share a doc_id are separate documents, in order of their text's hash;
-an empty table makes no block and reads back as no row; other columns are not read.
+a very long text spans blocks and is split into words a piece at a time; an empty table makes no block and reads back as no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ from .tokenize import word_encoder
 BLOCK_IDS = 65_536
 LEVEL = 3
 SCHEMA = "shard int, block int, first long, n_ids int, planes array<binary>, doc_ids array<long>, doc_starts array<long>"
-#: Rows of an Arrow batch that are encoded together; bounds the memory that texts take.
-ROWS = 256
+#: Rows of an Arrow batch, and about so many bytes of text, that are encoded together; bounds the memory that texts take.
+ROWS, TEXT_BYTES = 256, 4 << 20
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -71,6 +72,17 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``ROWS`` rows whose texts (the second column) take about ``TEXT_BYTES`` together, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        before = ends[lo] - sizes[lo]
+        hi = min(lo + ROWS, max(lo + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1, block_ids: int = BLOCK_IDS, bits: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``SCHEMA``: the corpus in ascending ``doc_id`` order as compressed blocks."""
 
@@ -98,8 +110,7 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1, block_ids: i
             return made, data[4 * k :]
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            for part in slices(batch):
                 keys = part.column(0).to_pylist()
                 for key, ids in zip(keys, encoder.encode(part.column(1).to_pylist()), strict=True):
                     open_docs.append((key, at))
@@ -133,19 +144,21 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in _blocks(batch):
                 ids = pa.array([row["ids"].astype(np.int64)], pa.list_(pa.int64()))
-                rest = [pa.array([row[k]], kind) for k, kind in (("shard", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())))]
+                rest = [pa.array([row["shard"]], pa.int32()), pa.array([row["first"]], pa.int64()), *(pa.array([row[k].to_pylist()], pa.list_(pa.int64())) for k in ("doc_ids", "doc_starts"))]
                 yield pa.RecordBatch.from_arrays([*rest, ids], ["shard", "first", "doc_ids", "doc_starts", "ids"])
 
     return spark.read.schema(SCHEMA).parquet(path).mapInArrow(decode, "shard int, first long, doc_ids array<long>, doc_starts array<long>, ids array<long>")
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Each row: its scalars, the documents' ids and starts as Arrow arrays, and the decoded ids."""
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
+    column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
     for i in range(batch.num_rows):
-        row = batch.slice(i, 1).to_pylist()[0]
-        yield row | {"ids": from_planes([expand(p) for p in row["planes"]], row["n_ids"])}
+        row = {k: column[k][i].as_py() for k in ("shard", "first", "n_ids")} | {k: column[k][i].values for k in ("doc_ids", "doc_starts")}
+        yield row | {"ids": from_planes([expand(p.as_buffer()) for p in column["planes"][i].values], row["n_ids"])}
 
 
 def shift_crc(crc: int, n_bytes: int) -> int:
@@ -178,27 +191,29 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in _blocks(batch):
                 first, n = row["first"], row["n_ids"]
-                starts = row["doc_starts"]
-                data = memoryview(row["ids"].astype("<u4").tobytes())
-                lo = [max(0, s - first) for s in starts]
-                hi = [*lo[1:], n]
+                lo = np.maximum(row["doc_starts"].to_numpy() - first, 0)
+                hi = np.append(lo[1:], n)
+                data = memoryview(row["ids"].astype("<u4", copy=False).tobytes())
+                crc = [zlib.crc32(data[a:b]) for a, b in zip((4 * lo).tolist(), (4 * hi).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["shard"]] * len(lo), pa.int32()), pa.array(starts, pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array([first] * len(lo), pa.int64()),
-                        pa.array([b - a for a, b in zip(lo, hi, strict=True)], pa.int64()), pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(lo, hi, strict=True)], pa.int64()),
-                    ],
+                    [pa.array(np.full(len(lo), row["shard"], np.int32)), row["doc_starts"], row["doc_ids"], pa.array(np.full(len(lo), first, np.int64)), pa.array(hi - lo), pa.array(crc, pa.int64())],
                     ["shard", "at", "doc_id", "part", "n", "crc"],
                 )
 
-    @F.pandas_udf("long")
-    def joined(all_parts):
-        def one(items):
-            crc = 0
-            for p in items:
-                crc = shift_crc(crc, 4 * int(p["n"])) ^ int(p["crc"])
-            return crc
-
-        return all_parts.map(one)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The register of a document's only part is its CRC-32; others are shifted by the parts that follow them."""
+        for batch in batches:
+            found, names = batch.column(4), batch.schema.names
+            lengths, items = pc.list_value_length(found).to_numpy(), found.flatten()
+            n, crc = items.field("n").to_numpy(), items.field("crc").to_numpy()
+            ends = np.cumsum(lengths)
+            out = crc[ends - lengths].copy()
+            for k in np.flatnonzero(lengths > 1).tolist():
+                whole = int(out[k])
+                for at in range(int(ends[k] - lengths[k]) + 1, int(ends[k])):
+                    whole = shift_crc(whole, 4 * int(n[at])) ^ int(crc[at])
+                out[k] = whole
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], [*names[:4], "ids_crc32"])
 
     stored = spark.read.schema(SCHEMA).parquet(path)
     # one row a shard comes to the driver: as many as there were write tasks
@@ -209,8 +224,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         total += n
     found = stored.mapInArrow(parts, "shard int, at long, doc_id long, part long, n long, crc long")
     found = found.groupBy("shard", "at", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "n", "crc"))).alias("parts"))
+    whole = found.select("shard", "at", "doc_id", "n_tokens", "parts").mapInArrow(joined, "shard int, at long, doc_id long, n_tokens long, ids_crc32 long")
     shards = spark.createDataFrame(offsets, "shard int, offset long")
-    return found.join(F.broadcast(shards), "shard").select(
-        "doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens",
-        joined("parts").alias("ids_crc32"),
-    )
+    # a row a shard
+    return whole.join(F.broadcast(shards), "shard").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

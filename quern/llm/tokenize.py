@@ -1,63 +1,154 @@
-"""Tokenizer use on executors: one tokenizer a worker process, with a memo of encoded words."""
+"""Tokenizer use on executors: one tokenizer a worker process, with a bounded memo of encoded words."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
-#: Words that a worker remembers at most; past it the memo is emptied and fills again.
-MEMO_WORDS = 700_000
-#: New words that are encoded as one text; it costs half of encoding each alone.
+#: Bytes that a worker's memo takes at most, by estimate; past it the memo is emptied and fills again.
+MEMO_BYTES = 96 << 20
+#: What an entry of a memo takes besides its key and value: two objects' heads and a place in the table.
+ENTRY_BYTES = 170
+#: Longer words are encoded but not remembered.
+LONGEST_WORD = 256
+#: New words that are encoded as one text; it costs a fraction of encoding each alone.
 TOGETHER = 256
+#: Characters of a text that are split into words at a time.
+PIECE = 1 << 20
+
+_SPACE = "\t\n\v\f\r "
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Byte-level models write bytes that are no visible Latin-1 characters as those from U+0100, in order.
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Texts that show what a tokenizer does with white space, case and punctuation.
+_PROBES = (
+    "a bc  de, f-g\n1.2 h", "\t it's ÉO (x) ñandú 7%\r\n", "zz <|y|> !! ?a", "Word, word. WORD... \"Zebra\" zebra' zebras' it's, end;) Unbelievable!? _a a_ a_, internationalisation: qqxjzk'",
+    "I'd we'll they're 'tis the's' don't. A B, c's' x'' o'clock'd",
+)
+
+
+def load(path: str, special_as_text: bool = False):
+    """The tokenizer of a file. ``special_as_text``: special tokens in texts are text; such an object is apart."""
+    return _load(path, special_as_text)
 
 
 @lru_cache(maxsize=4)
-def load(path: str):
+def _load(path: str, special_as_text: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = special_as_text
+    return tokenizer
+
+
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, cut at ASCII white space only."""
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        while end < len(text) and text[end] not in _SPACE:
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
 
 
 class WordEncoder:
-    """Ids of whole texts, as little-endian uint32 bytes, for tokenizers that drop white space.
+    """Ids of whole texts, as little-endian uint32 bytes.
 
-    No token crosses ASCII white space there, so each distinct word goes through the tokenizer
-    once and a text's ids are its words' ids in a row (tests compare with whole-text encoding).
+    For a tokenizer that drops white space, no token crosses it: each distinct word goes through
+    the tokenizer once and a text's ids are its words' ids in a row. If it also keeps letters and
+    punctuation apart and lower-cases, a word's ASCII letters are learned once for all its forms,
+    by the model alone. Both are tried out on probes when the file is loaded; texts of any other
+    tokenizer are encoded whole. Tests compare with whole-text encoding.
     """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         self.tokenizer = load(path)
+        self.model = self.tokenizer.model
         self.memo: dict[bytes, bytes] = {}
-        self.memo_words = memo_words
+        self.memo_bytes, self.held = memo_bytes, 0
+        self.by_words = all(self._ids(t) == [i for w in t.encode().split() for i in self._ids(w.decode())] for t in _PROBES)
+        self.by_letters = self.by_words and all(self._apart(w) for t in _PROBES for w in t.encode().split())
+
+    def _apart(self, word: bytes) -> bool:
+        """Whether the parts of a probe have the ids of the whole."""
+        core, rest = self._parts(word)
+        return core is None or self._ids(word.decode()) == [k.id for k in self.model.tokenize(core.decode("latin-1").translate(_BYTE_LEVEL))] + self._ids(rest.decode())
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo = self.memo
-        split = [(t or "").encode().split() for t in texts]
-        missing = {w for words in split for w in words if w not in memo}
-        if len(memo) + len(missing) > self.memo_words:
+        if not self.by_words:
+            return [np.array(self._ids(t or ""), "<u4").tobytes() for t in texts]
+        return [b"".join(map(self._piece, pieces(t))) if t and len(t) > PIECE else self._piece(t or "") for t in texts]
+
+    def _piece(self, text: str) -> bytes:
+        words, memo = text.encode().split(), self.memo
+        distinct = set(words)
+        missing = distinct.difference(memo)
+        if missing and self.held > self.memo_bytes:
             memo.clear()
-            missing = {w for words in split for w in words}
-        todo = list(missing)
-        for at in range(0, len(todo), TOGETHER):
-            self._learn(todo[at : at + TOGETHER])
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
-
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        whole = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(whole.ids, "<u4")
-        starts = np.fromiter((a for a, _ in whole.offsets), np.int64, len(ids))
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        cuts = np.searchsorted(starts, begins)
-        data = ids.tobytes()
-        for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            self.memo[w] = data[4 * a : 4 * b]
-
-
-@lru_cache(maxsize=2)
+            self.held, missing = 0, distinct
+        long = {w for w in missing if len(w) > LONGEST_WORD}
+        self._learn(missing - long)
+        if not long:
+            return b"".join(map(memo.__getitem__, words))
+        return b"".join(np.array(self._ids(w.decode()), "<u4").tobytes() if w in long else memo[w] for w in words)
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """Put the ids of ``missing`` in the memo."""
+        memo, whole, cores, split = self.memo, [], [], []
+        for w in missing:
+            core, rest = self._parts(w) if self.by_letters else (None, b"")
+            if core is None:
+                whole.append(w)
+                continue
+            if core not in memo:
+                memo[core] = b""
+                cores.append(core)
+            if rest and rest not in memo:
+                memo[rest] = b""
+                whole.append(rest)
+            if core != w:
+                split.append((w, core, rest))
+        tokenize = self.model.tokenize
+        for core in cores:
+            ids = [k.id for k in tokenize(core.decode("latin-1").translate(_BYTE_LEVEL))]
+            self._put(core, pack(f"<{len(ids)}I", *ids))
+        for at in range(0, len(whole), TOGETHER):
+            part = [w.decode() for w in whole[at : at + TOGETHER]]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+            cuts, data = (4 * np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in part)]))).tolist(), ids.tobytes()
+            for w, a, b in zip(whole[at : at + TOGETHER], cuts[:-1], cuts[1:], strict=True):
+                self._put(w, data[a:b])
+        for w, core, rest in split:
+            self._put(w, memo[core] + memo[rest] if rest else memo[core])
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes | None, bytes]:
+        """A word of letters before U+0250 as these, lower-case, and the ASCII punctuation that ends it; (None, b"") for another."""
+        letters = word.rstrip(_PUNCTUATION)
+        if letters.isalpha():  # of ASCII
+            return letters.lower(), word[len(letters) :]
+        text = letters.decode()
+        if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
+            return None, b""
+        return text.lower().encode(), word[len(letters) :]
+
+    def _put(self, word: bytes, ids: bytes) -> None:
+        self.memo[word] = ids
+        self.held += len(word) + len(ids) + ENTRY_BYTES
+
+
+@lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

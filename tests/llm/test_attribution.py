@@ -32,7 +32,7 @@ def plain(text, spans, rule):
 @given(st.text(alphabet="ab' \n\t.é😀１s<|endoftext|>　", max_size=40))
 @settings(max_examples=400, deadline=None)
 def test_pieces_give_whole_text_spans(text):
-    got = A.PieceSpans(PATH, memo_words=20).spans(text)
+    got = A.PieceSpans(PATH, memo_bytes=2000).spans(text)
     assert list(map(tuple, got.tolist())) == WHOLE.encode(text, add_special_tokens=False).offsets
 
 

@@ -22,7 +22,7 @@ def plain_ids(text):
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_word_memo_is_whole_text_encoding(text):
-    encoder = WordEncoder(PATH, memo_words=50)
+    encoder = WordEncoder(PATH, memo_bytes=5000)
     for t in (text, text + " it's <|endoftext|>x İΣς é ́a b　c"):
         try:
             t.encode()
@@ -66,3 +66,21 @@ def test_empty_table(spark):
     path = new_path(spark, "t")
     T.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
     assert T.read_documents(spark, path).count() == 0
+
+
+def test_words_of_every_form_and_long_texts():
+    encoder = WordEncoder(PATH, memo_bytes=20_000)
+    assert encoder.by_words and encoder.by_letters
+    odd = ["Ñandú, ñandú! ÉO... éO's it'S IT'S don't' 'tis x<|endoftext|> Word <|endoftext|>, ª º ß ẞ ŉ ﬁ", "x" * 3000 + " y", ("wörd, " * 300_000) + "end", "a\x85b c\xa0d \x1c e"]
+    for t in odd:
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain_ids(t)
+
+
+def test_other_tokenizers_are_encoded_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, text = WordEncoder(path), "it keeps  white space\n\tas it is"
+    assert not encoder.by_words
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids

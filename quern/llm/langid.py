@@ -8,26 +8,30 @@ A text is rejected if it is farther from that centroid than texts of the languag
 are: the limit is ``slack`` of a low quantile of the sample's cosines, by length. Lengths are powers
 of two of n-grams; the sample's texts give their first 1, 2, 4, ... words and their whole.
 
-Fitting gathers at most ``per_language`` sparse vectors a language on the driver; predicting reads
-whole texts, in pieces of fixed size, where they are. No row is shuffled.
+Fitting gathers at most ``per_language`` sparse vectors a language on the driver, of those rows
+whose keys hash lowest; rows that cannot be among them are left out where they are read, by a limit
+on the hash from each label's number of rows. Predicting reads whole texts where they are, a very
+long one in pieces that end between words. No row is shuffled.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is
 every text if there is nothing to learn from; an empty table gives no row; repeated rows are
-predicted alike, ties go to the language that sorts first. :func:`predict` keeps all columns;
-columns of its own names are replaced.
+predicted alike and count once in the sample; ties go to the language that sorts first.
+:func:`predict` keeps all columns; columns of its own names are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .tokenize import pieces
 
 PLACES_LOG2 = 13
 PER_LANGUAGE = 500
@@ -40,18 +44,19 @@ LOW = 0.01
 FIRST_WORDS = tuple(1 << k for k in range(12))
 FEW = 30
 LENGTHS = 32
-#: Characters of a text that are counted at a time.
-PIECE = 1 << 20
+#: Labels that are learned at most, those with most rows: what the driver holds is bounded by it and ``per_language``.
+LABELS = 1000
 UNKNOWN = "und"
 
-_not_letters = re.compile(r"[\W\d_]+")
+_letters = regex.compile(r"\p{L}+")
+_not_letters = regex.compile(r"\P{L}+")
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and numbers of the text's hashed 2- and 3-grams; both are empty without a letter."""
     total = None
-    for at in range(0, len(text or ""), PIECE):
-        letters = _not_letters.sub(" ", text[at : at + PIECE].lower()).strip()
+    for piece in pieces(text or ""):
+        letters = _not_letters.sub(" ", piece.lower()).strip()
         if not letters:
             continue
         b = np.frombuffer(f" {letters} ".encode(), np.uint8).astype(np.uint32)
@@ -72,7 +77,7 @@ def length(n: np.ndarray) -> int:
 
 
 def first_words(text: str) -> Iterator[str]:
-    words = _not_letters.sub(" ", text[:PIECE]).split()
+    words = list(islice((m.group() for m in _letters.finditer(text)), FIRST_WORDS[-1] + 1))
     for k in FIRST_WORDS:
         if k < len(words):
             yield " ".join(words[:k])
@@ -89,6 +94,10 @@ def limits(cosines: list[tuple[int, float]], slack: float) -> np.ndarray:
     return out
 
 
+OWN = ("lang_pred", "score", "rejected")
+FOUND = "lang_pred string, score double, rejected boolean"
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
@@ -126,11 +135,29 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
     return c[[j for j in range(len(c)) if (own == j).any()]]
 
 
+def place_of(key: F.Column) -> F.Column:
+    """A key's place between 0 and 1, by its hash."""
+    return F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") / float(1 << 53)
+
+
+def share_of(keys: F.Column, wanted: int) -> F.Column:
+    """A place below which, of so many keys, ``wanted`` lie almost surely (by eight deviations), and few more.
+
+    ``keys`` may be an estimate that is 20% too large.
+    """
+    return (F.lit(wanted + 8 * wanted**0.5 + 40) * 1.2) / F.greatest(F.lit(1), keys)
+
+
 def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = PER_LANGUAGE, k: int = CENTROIDS, slack: float = SLACK) -> Model:
     """Learn from at most ``per_language`` rows of each label, those whose keys hash lowest."""
-    named = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    sample = named.select(F.col(label).alias("label"), F.col(key).alias("key")).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
+    named = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(text).alias("text"))
+    named = named.withColumn("place", place_of(F.col("key")))
+    # a row a label, LABELS at most
+    known = named.groupBy("label").agg(F.approx_count_distinct("key").alias("keys")).orderBy(F.desc("keys"), "label").limit(LABELS)
+    known = known.select("label", share_of(F.col("keys"), per_language).alias("share"))
+    keys = named.select("label", "key", "place").join(F.broadcast(known), "label").filter("place <= share").select("label", "key", "place").distinct()
+    order = Window.partitionBy("label").orderBy("place", "key")
+    sample = keys.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("label", "key")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +169,7 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "do
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(place, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64())), pa.array(part, pa.bool_())], ["label", "places", "n", "part"])
 
     # the sample has a bounded number of rows a label
-    chosen = named.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text")).join(F.broadcast(sample), ["key", "label"])
+    chosen = named.join(F.broadcast(sample), ["key", "label"])
     got = chosen.select("label", "text").mapInArrow(featured, "label string, places array<int>, n array<long>, part boolean").filter("size(places) > 0").toArrow()
     every = [(name, part, (p.values.to_numpy(), n.values.to_numpy())) for name, p, n, part in zip(got["label"].to_pylist(), got["places"], got["n"], got["part"].to_pylist(), strict=True)]
     labels, bags = [name for name, part, _ in every if not part], [bag for _, part, bag in every if not part]
@@ -162,19 +189,29 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "do
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
-    own = ("lang_pred", "score", "rejected")
-    docs = docs.drop(*own)
-    at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    """``docs`` with lang_pred, score and rejected.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(at)]
-            new = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *own])
+    Only texts go to the Python workers, in batches of Spark's; the other columns stay where they are.
+    """
+
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            rows = [model.predict(t.as_py()) for t in part]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], list(OWN))
+
+    kept = [c for c in docs.columns if c not in OWN]
+    marked = docs.select(*kept, F.arrow_udf(found, FOUND)(F.col(text)).alias("__found"))
+    return marked.select(*kept, *(F.col(f"__found.{c}") for c in OWN))
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that the model does not reject; all columns stay, whatever their names."""
+
+    def kept(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            yield pa.array([not model.predict(t.as_py())[2] for t in part], pa.bool_())
 
-    return docs.mapInArrow(add, schema)
+    return docs.filter(F.arrow_udf(kept, "boolean")(F.col(text)))
 
 
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> F.Column:

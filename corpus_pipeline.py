@@ -6,7 +6,6 @@ Each stage takes all that its predecessor kept; all but the last return the colu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, langid, mixing, simhash, token_planes
 from quern.llm.entries import tokenizer_path
@@ -16,8 +15,7 @@ from quern.llm.storage import new_path, table, written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model, learned from this stage's own labelled rows, does not reject."""
     model = langid.fit(docs.filter(~langid.held_out()))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return langid.predict(rows, model).filter(~F.col("rejected")).select("row.*")
+    return langid.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

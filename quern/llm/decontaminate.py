@@ -1,27 +1,40 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become a template: numbers, units after numbers, and names (capitalised inside a sentence)
-are replaced with typed placeholders, the rest is lower-cased and stripped of punctuation. Windows
-of ``WINDOW`` template words of documents are hash-joined with the benchmark's. Matched windows
-carry what stood in their slots; along one alignment of document and item, each slot value of the
-item goes with the one value of the document that most windows pair it with, and, but for numbers,
-the other way round. Windows that disagree are left out, unless their slots are equal throughout;
-so a question with other numbers or names is found and a chance mixture is not. An item is leaked
-if at least ``SHARE`` of its windows are left.
+Words become a template: numbers, units after numbers, and names (runs of words capitalised inside
+a sentence) are replaced with typed placeholders, the rest is lower-cased and stripped of
+punctuation. Windows of ``WINDOW`` template words of documents are hash-joined with the benchmark's,
+and their words compared. Matched windows carry what stood in their slots; along one alignment of
+document and item, each slot value of the item goes with the one value of the document that most
+windows pair it with, and, but for numbers, the other way round. Windows that disagree are left out,
+unless their slots are equal throughout; so a question with other numbers or names is found and a
+chance mixture is not. An item is leaked if at least ``SHARE`` of its windows are left.
 
 Names are known by their capitals, so windows are compared in three forms: ``TYPED``, as above;
 ``OPENING``, where capitalised words that open a sentence or a quotation are names too; and
 ``PLAIN``, lower-cased words without slots, whatever their case was. Forms are not mixed: an item is
 leaked if one form alone reaches the share, and the first that does gives the figures.
 
-Only DataFrame functions are used. Documents' windows are never all kept: they stream into the
-join, and only those that match an item's hash are shuffled. The item side is broadcast if it has
-at most ``BROADCAST_WINDOWS`` windows, counted first; else both sides are shuffled by hash.
-
-Defined cases: null and empty texts match nothing; texts or items of fewer words than a window are
-one window of all their words; repeated rows match alike (an alignment is of one document id);
-repeated items match alike; equal windows of an item count once; ties do not arise; an empty
-table on either side gives no pair. Columns other than those named are not read.
+Items of ``LEAST_WORDS`` words or more, but fewer than a window, are one window of their own length,
+found anywhere in a document; with slots they need ``LEAST_FIXED`` words that are none. Shorter
+items are no evidence inside a text and match only documents that are these words. A window of
+nothing but slots counts in no form that has slots.
+
+Templates are dear, and few documents hold any item, so documents are searched twice. First, runs of
+letters and digits are hash-joined with the *anchors* of the benchmark: n-grams of neighbouring
+template words that are no slots. A window can match only where all its anchors occur, so an item
+can be leaked only by documents with the anchors of enough of its windows (:func:`candidates`).
+Only these are made into templates. An item takes the longest n-grams that its windows offer; where
+a form of an item offers none at all, every document is a candidate.
+
+Only DataFrame functions are used. Documents' n-grams are never all kept: they stream into the join,
+and only hits are shuffled. The benchmark's side is broadcast if it has at most
+``BROADCAST_WINDOWS`` rows, counted first, and so are the candidates' ids; else both sides are
+shuffled.
+
+Defined cases: null and empty texts match nothing; very long texts are searched whole; repeated rows
+match alike (an alignment is of one document id); repeated items match alike; equal windows of an
+item count once; of slot pairs with equal votes the lesser counts; an empty table on either side
+gives no pair. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +46,10 @@ from .storage import written
 
 WINDOW = 5
 SHARE = 0.8
+LEAST_WORDS, LEAST_FIXED = 3, 3
 BROADCAST_WINDOWS = 500_000
+#: Lengths of anchors, in the order in which they are tried.
+ANCHORS = (5, 3, 2, 1)
 
 #: Units that count as a slot when they follow a number.
 UNITS = (
@@ -43,66 +59,37 @@ UNITS = (
     "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "percent", "mph", "kmh", "degrees",
 )
 
-#: Forms of windows, in the order in which they are tried; bits, since a window can be equal in several.
+#: Forms of windows, in the order in which they are tried.
 TYPED, OPENING, PLAIN = FORMS = (1, 2, 4)
 
-MARK = "\x01"
+MARK, JOIN = "\x01", "\x02"
 _NAME = r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}\p{L}*)"
 _OPENING = r"(?:^|(?<=[ \"'“‘«(\[¿¡]))(\p{Lu}\p{Ll}\p{L}*)"
+#: A name, or what follows the join of the one before it, and the start of the next name.
+_RUN = r"(\x01a\p{L}+|(?!^)\G\p{L}+) \x01a"
 _NUMBER = r"(?<![\p{L}\p{N}\x01])\p{N}(?:[\p{N}.,:/]*\p{N})?(?![\p{L}\p{N}])"
 _UNIT = rf"(?i)(\x01n[^ ]*) ?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 #: Punctuation, but for what stands between two digits.
-_PUNCTUATION = r"(?:^|(?<=[\p{L} ]))[^\p{L}\p{N} \x01]+|[^\p{L}\p{N} \x01]+(?![\p{N}])"
-
-
-def slots(text: Column) -> Column:
-    """The text's words: lower-case, without punctuation, a slot's led by a mark and its type (n, u, a; o opens a sentence)."""
-    flat = F.regexp_replace(text, r"[\x01\x20\x09-\x0D]+", " ")
-    named = F.regexp_replace(flat, _NAME, f"{MARK}a$1")
-    numbered = F.regexp_replace(named, _NUMBER, f"{MARK}n$0")
-    united = F.regexp_replace(numbered, _UNIT, f"$1 {MARK}u$2")
-    opened = F.regexp_replace(united, _OPENING, f"{MARK}o$1")
-    bare = F.regexp_replace(F.lower(opened), _PUNCTUATION, " ")
-    return F.filter(F.split(bare, " "), lambda w: w != "")
-
-
-def _windows(rows: DataFrame, keep: list[str], window: int) -> DataFrame:
-    """A row a window and distinct hash: ``keep``, its place, hash, the forms it is the hash of, and (if it has a slot) its words."""
-    words = rows.select(*keep, slots(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    opens = lambda w: w.startswith(f"{MARK}o")
-    bare = lambda w: F.substring(w, 3, 1 << 30)
-    words = words.select(
-        *keep,
-        F.transform("w", lambda w: F.when(opens(w), bare(w)).otherwise(w)).alias("typed"),
-        F.transform("w", lambda w: F.when(opens(w), F.concat(F.lit(f"{MARK}a"), bare(w))).otherwise(w)).alias("opening"),
-        F.transform("w", lambda w: F.when(opens(w), OPENING).when(w.startswith(MARK), TYPED).otherwise(0)).alias("kinds"),
-    )
-
-    def kind(w: Column) -> Column:
-        return F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w)
-
-    def has(i: Column) -> Column:
-        found = F.lit(0)
-        for k in range(window):
-            found = found.bitwiseOR(F.coalesce(F.get("kinds", i + k), F.lit(0)))
-        return found
-
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("typed") - window))
-    words = words.select(
-        *keep, "typed", "opening", F.transform("typed", kind).alias("t"), F.transform("opening", kind).alias("o"),
-        F.transform("typed", lambda w: F.when(w.startswith(MARK), bare(w)).otherwise(w)).alias("p"), F.transform(starts, has).alias("has"),
-    )
-
-    def cell(i: Column, of: str, forms: Column, own: Column) -> Column:
-        return F.struct(i.alias("at"), F.xxhash64(*(F.get(of, i + k) for k in range(window))).alias("hash"), forms.alias("forms"), own.alias("slots"))
-
-    slot, opening, none = (lambda x: x.bitwiseAND(TYPED) != 0), (lambda x: x.bitwiseAND(OPENING) != 0), F.lit(None).cast("array<string>")
-    cells = F.concat(
-        F.transform("has", lambda x, i: cell(i, "t", F.lit(TYPED) + F.when(opening(x), 0).otherwise(OPENING) + F.when(slot(x), 0).otherwise(PLAIN), F.when(slot(x), F.slice("typed", i + 1, window)))),
-        F.filter(F.transform("has", lambda x, i: F.when(opening(x), cell(i, "o", F.lit(OPENING), F.slice("opening", i + 1, window)))), lambda c: c.isNotNull()),
-        F.filter(F.transform("has", lambda x, i: F.when(slot(x), cell(i, "p", F.lit(PLAIN), none))), lambda c: c.isNotNull()),
-    )
-    return words.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*")
+_PUNCTUATION = r"(?:^|(?<=[\p{L} ]))[^\p{L}\p{N} \x01\x02]+|[^\p{L}\p{N} \x01\x02]+(?![\p{N}])"
+_BETWEEN = r"[^\p{L}\p{N}]+"
+
+
+def words(text: Column, form: int) -> Column:
+    """The text's words: lower-case, without punctuation; a slot's led by a mark and its type (n, u, a)."""
+    out = F.regexp_replace(text, r"[\x01\x02\x20\x09-\x0D]+", " ")
+    if form != PLAIN:
+        out = F.regexp_replace(out, _NAME, f"{MARK}a$1")
+        if form == OPENING:
+            out = F.regexp_replace(out, _OPENING, f"{MARK}a$1")
+        out = F.regexp_replace(out, _RUN, f"$1{JOIN}")
+        out = F.regexp_replace(out, _NUMBER, f"{MARK}n$0")
+        out = F.regexp_replace(out, _UNIT, f"$1 {MARK}u$2")
+    return F.filter(F.split(F.regexp_replace(F.lower(out), _PUNCTUATION, " "), " "), lambda w: w != "")
+
+
+def _kinds(of: Column) -> Column:
+    """Words with slots as their types."""
+    return F.transform(of, lambda w: F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
 
 
 def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -110,6 +97,74 @@ def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _windows(rows: DataFrame, keep: list[str], window: int, widths: list[int] | None = None) -> DataFrame:
+    """A row a window that counts: ``keep``, form, width, at, hash and its words.
+
+    ``widths``: lengths of windows, 0 for a whole text of fewer than ``LEAST_WORDS``; None for the one that each text has as an item.
+    """
+    forms = F.explode(F.array(*(F.struct(F.lit(f).alias("form"), words(F.col("text"), f).alias("w")) for f in FORMS)))
+    each = rows.select(*keep, forms.alias("x")).select(*keep, "x.form", "x.w").filter(F.size("w") > 0)
+    n = F.size("w")
+    if widths is None:
+        each = each.withColumn("width", F.when(n >= window, window).when(n >= LEAST_WORDS, n).otherwise(0))
+    else:
+        each = each.withColumn("width", F.explode(F.array(*map(F.lit, widths)))).filter(F.when(F.col("width") == 0, n < LEAST_WORDS).otherwise(n >= F.col("width")))
+    take = F.when(F.col("width") == 0, n).otherwise(F.col("width"))
+    cells = F.transform(F.sequence(F.lit(0), n - take), lambda i: F.struct(i.alias("at"), F.slice("w", i + 1, take).alias("words")))
+    cut = each.select(*keep, "form", "width", F.explode(cells).alias("cell")).select(*keep, "form", "width", "cell.*")
+    fixed = F.size(F.filter("words", lambda w: ~w.startswith(MARK)))
+    counts = (F.col("form") == PLAIN) | (F.col("width").isin(0, window) & (fixed > 0)) | (fixed >= LEAST_FIXED)
+    return cut.filter(counts).select(*keep, "form", "width", "at", F.xxhash64("form", "width", _kinds(F.col("words"))).alias("hash"), "words")
+
+
+def _anchored(own: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """(anchors, needs) of the benchmark's windows.
+
+    anchors: (item_id, form, n, hash, anchor), the anchors of each distinct window for the item's n;
+    needs: (item_id, form, n, need), the number of windows with anchors that must be found; n 0: no length gives a need.
+    """
+    distinct = own.groupBy("item_id", "form", "hash").agg(F.first("words").alias("words"))
+    plain = F.transform("words", lambda w: w.rlike(r"^[\p{L}\p{N}]+$"))
+    marked = _once(distinct, "fixed", plain)
+
+    def grams(n: int) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - n))
+        whole = lambda i: (i + n <= F.size("words")) & F.forall(F.slice("fixed", i + 1, n), lambda x: x)
+        return F.array_distinct(F.filter(F.transform(places, lambda i: F.when(whole(i), F.xxhash64(*(F.get("words", i + k) for k in range(n))))), lambda h: h.isNotNull()))
+
+    each = marked.select("item_id", "form", "hash", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), grams(n).alias("grams")) for n in ANCHORS))).alias("x")).select("item_id", "form", "hash", "x.*")
+    each = written(each, "item-anchors")
+    need = F.ceil(F.lit(share) * F.count("*")) - F.count_if(F.size("grams") == 0)
+    needs = each.groupBy("item_id", "form", "n").agg(need.alias("need")).groupBy("item_id", "form").agg(F.max(F.when(F.col("need") > 0, F.struct("n", "need"))).alias("best"))
+    needs = needs.select("item_id", "form", F.coalesce("best.n", F.lit(0)).alias("n"), F.coalesce("best.need", F.lit(0)).alias("need"))
+    chosen = each.join(needs.select("item_id", "form", "n"), ["item_id", "form", "n"])
+    return chosen.select("item_id", "form", "n", "hash", F.size("grams").alias("parts"), F.explode("grams").alias("anchor")), needs
+
+
+def candidates(docs: DataFrame, own: DataFrame, share: float, broadcast_windows: int) -> DataFrame | None:
+    """(doc_id) of all documents that may hold an item, for ``docs`` (doc_id, text); None if every one may.
+
+    ``own``: the benchmark's windows.
+    """
+    anchors, needs = (written(x, "anchors") for x in _anchored(own, share))
+    lengths = sorted(r.n for r in needs.select("n").distinct().collect())  # of ANCHORS
+    if not lengths or lengths[0] == 0:
+        return None if lengths else docs.select("doc_id").limit(0)
+    known = anchors.select("anchor").distinct()
+    known = F.broadcast(known) if known.count() <= broadcast_windows else known
+    stream = docs.select("doc_id", F.split(F.lower("text"), _BETWEEN).alias("w"))
+    shifted = F.arrays_zip(*((F.col("w") if k == 0 else F.slice("w", k + 1, 1 << 30)).alias(f"w{k}") for k in range(lengths[-1])))
+    # n-grams over the end have a null; runs are never null, so a hash of one is of no anchor
+    each = stream.select("doc_id", F.explode(shifted).alias("z"))
+    hashes = [F.when(F.col(f"z.w{n - 1}").isNotNull(), F.xxhash64(*(F.col(f"z.w{k}") for k in range(n)))) for n in lengths]
+    grams = each.select("doc_id", (hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))).alias("anchor"))
+    hits = grams.join(known, "anchor").distinct()
+    side = F.broadcast(anchors) if anchors.count() <= broadcast_windows else anchors
+    whole = hits.join(side, "anchor").groupBy("doc_id", "item_id", "form", "hash", "parts").count().filter(F.col("count") == F.col("parts"))
+    found = whole.groupBy("doc_id", "item_id", "form").count().join(F.broadcast(needs) if needs.count() <= broadcast_windows else needs, ["item_id", "form"])
+    return written(found.filter(F.col("count") >= F.col("need")).select("doc_id").distinct(), "candidates")
+
+
 def _majority(rows: DataFrame) -> DataFrame:
     """``rows`` with ``agreed``: the pairs that no other of more votes contradicts; of equal votes the lesser counts."""
     rows = _once(rows, "all", F.flatten("cells.pairs"))
@@ -127,27 +182,32 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
     ``exact``: no slot of the matched windows differs.
     """
-    own = _windows(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), ["item_id"], window)
-    # a repeated hash of an item is kept at each place, for alignments; it counts once in the share
-    form = F.explode(F.filter(F.array(*map(F.lit, FORMS)), lambda f: f.bitwiseAND(F.col("forms")) != 0))
-    own = written(own.select("item_id", F.col("at").alias("item_at"), "hash", form.alias("form"), F.col("slots").alias("item_slots")).distinct(), "item-windows")
+    # a repeated window of an item is kept at each place, for alignments; it counts once in the share
+    own = written(_windows(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), ["item_id"], window).distinct(), "item-windows")
     sizes = own.groupBy("item_id", "form").agg(F.countDistinct("hash").alias("windows"))
-    side = F.broadcast(own) if own.count() <= broadcast_windows else own
-    seen = _windows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], window)
-    matched = seen.join(side, "hash").filter(F.col("forms").bitwiseAND(F.col("form")) != 0).withColumn("shift", F.col("at") - F.col("item_at"))
-    pairs = F.filter(F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("item"), F.coalesce("slots", F.array().cast("array<string>")).alias("doc")), lambda p: p["item"].startswith(MARK))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = candidates(rows, own, share, broadcast_windows)
+    if found is not None:
+        found = found.select(F.col("doc_id").alias("__candidate"))
+        rows = rows.join(F.broadcast(found) if found.count() <= broadcast_windows else found, F.col("doc_id").eqNullSafe(F.col("__candidate")), "left_semi")
+    widths = sorted(r.width for r in own.select("width").distinct().collect())  # at most 0 and up to the window
+    side = own.select("item_id", F.col("at").alias("item_at"), "hash", F.col("words").alias("item_words"))
+    seen = _windows(rows, ["doc_id"], window, widths or [window])
+    matched = seen.join(F.broadcast(side) if own.count() <= broadcast_windows else side, "hash")
+    matched = matched.filter(_kinds(F.col("words")) == _kinds(F.col("item_words"))).withColumn("shift", F.col("at") - F.col("item_at"))
+    pairs = F.filter(F.arrays_zip(F.col("item_words").alias("item"), F.col("words").alias("doc")), lambda p: p["item"].startswith(MARK))
     aligned = matched.groupBy("doc_id", "item_id", "form", "shift").agg(F.collect_set(F.struct("item_at", "hash", pairs.alias("pairs"))).alias("cells"))
     agreed = _majority(aligned)
     fits = lambda p: F.exists("agreed", lambda q: (q["item"] == p["item"]) & (q["doc"] == p["doc"]))
     same = lambda c: F.forall(c["pairs"], lambda p: p["item"] == p["doc"])
     left = agreed.select("doc_id", "item_id", "form", F.explode(F.filter("cells", lambda c: same(c) | F.forall(c["pairs"], fits))).alias("cell"))
-    found = left.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("cell.hash").alias("matched"), F.bool_and(same(F.col("cell"))).alias("exact"))
-    reached = found.join(sizes, ["item_id", "form"]).filter(F.col("matched") >= share * F.col("windows"))
+    counted = left.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("cell.hash").alias("matched"), F.bool_and(same(F.col("cell"))).alias("exact"))
+    reached = counted.join(sizes, ["item_id", "form"]).filter(F.col("matched") >= share * F.col("windows"))
     first = reached.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", F.col("matched").cast("long").alias("matched"), "windows", "exact")).alias("first"))
     return first.select("doc_id", "item_id", "first.matched", "first.windows", "first.exact")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a leaked item; all columns stay."""
+    """``docs`` without the documents that hold a leaked item; all columns stay, null ids too."""
     leaked = leaks(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias("__leaked")).distinct()
     return docs.join(leaked, F.col(doc_id).eqNullSafe(F.col("__leaked")), "left_anti")

@@ -1,68 +1,82 @@
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from quern.llm import decontaminate as D
 
 DATA = "/root/testdata/sf0.001"
 
 
-def plain_words(text):
-    """The canonical words, from a hand-written scan."""
-    text = re.sub(r"[\x01\x20\x09-\x0d]+", " ", text or "")
-    marked, at = [], 0
+def plain_words(text, form):
+    """The template's words, from a hand-written scan."""
+    text = re.sub(r"[\x01\x02\x20\x09-\x0d]+", " ", text or "")
+    out, name_end = [], None
     for m in re.finditer(r"[^ ]+", text):
-        marked.append((m.start(), m.group()))
-    out = []
-    for k, (start, token) in enumerate(marked):
+        start, token = m.start(), m.group()
         before = text[start - 2] if start >= 2 else "."
-        named = bool(re.match(r"[A-ZÀ-Þ][a-zß-ÿ]", token)) and bool(re.match(r"[^\W_]|[,;:]", before))
-        pos = 0
-        for part in re.finditer(r"[^\W_]+(?:[.,:/]+[^\W_]+)*", token):
+        after_number = bool(out) and out[-1].startswith("\x01n") and before.isdigit()
+        for k, part in enumerate(re.finditer(r"[^\W_]+(?:[.,:/]+[^\W_]+)*", token)):
             word = part.group()
             if re.fullmatch(r"\d(?:[\d.,:/]*\d)?", word):
-                out.append("\x01n" + word)
+                out.append(word if form == D.PLAIN else "\x01n" + word)
                 continue
-            for piece in re.findall(r"[^\W_]+", word):
-                prior = bool(out) and out[-1].startswith("\x01n") and pos == 0 and text[start - 2 : start - 1].isdigit()
-                if prior and piece.lower() in D.UNITS:
-                    out.append("\x01u" + piece.lower())
-                elif named and pos == 0:
-                    out.append("\x01a" + piece.lower())
+            for j, piece in enumerate(re.finditer(r"[^\W_]+", word)):
+                at, value = start + part.start() + piece.start(), piece.group().lower()
+                capital = bool(re.match(r"[A-ZÀ-Þ][a-zß-ÿ]", piece.group()))
+                typed = capital and at == start and bool(re.match(r"[^\W_]|[,;:]", before))
+                opens = capital and (at == 0 or text[at - 1] in " \"'“‘«([¿¡")
+                if form != D.PLAIN and (typed or form == D.OPENING and opens):
+                    if name_end == at - 1 and text[at - 1] == " ":
+                        out[-1] += "\x02" + value
+                    else:
+                        out.append("\x01a" + value)
+                    name_end = at + len(value)
+                elif form != D.PLAIN and after_number and k == j == 0 and value in D.UNITS:
+                    out.append("\x01u" + value)
                 else:
-                    out.append(piece.lower())
-                pos += 1
+                    out.append(value)
     return out
 
 
 def plain_leaks(docs, items, n=5, share=0.8):
-    def windows(text):
-        w = plain_words(text)
-        w += [None] * (n - len(w)) if w else []
-        return [tuple(w[i : i + n]) for i in range(max(0, len(w) - n + 1))]
+    """All windows of all documents against all windows of all items."""
 
     def typed(w):
-        return tuple(x if x is None else x[:2] if x.startswith("\x01") else x for x in w)
+        return tuple(x[:2] if x.startswith("\x01") else x for x in w)
 
-    found = set()
-    for d, text in docs:
-        dw = defaultdict(list)
-        for at, w in enumerate(windows(text)):
-            dw[typed(w)].append((at, w))
+    def counts(w, form):
+        fixed = sum(not x.startswith("\x01") for x in w)
+        return form == D.PLAIN or fixed >= (1 if len(w) == n or len(w) < 3 else 3)
+
+    found = {}
+    for form in D.FORMS:
+        templates = [(d, plain_words(text, form)) for d, text in docs]
         for i, item in items:
-            by_shift, iw = defaultdict(list), windows(item)
-            for at, w in enumerate(iw):
-                for da, x in dw.get(typed(w), ()):
-                    by_shift[da - at].append((typed(w), [(a, b) for a, b in zip(w, x) if a and a.startswith("\x01")]))
-            hit, same = set(), True
-            for rows in by_shift.values():
-                pairs = {p for _, ps in rows for p in ps}
-                if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
-                    hit |= {t for t, _ in rows}
-                    same &= all(a == b for a, b in pairs)
-            all_windows = {typed(w) for w in iw}
-            if hit and len(hit) >= share * len(all_windows):
-                found.add((d, i, len(hit), len(all_windows), same))
-    return found
+            words = plain_words(item, form)
+            size = n if len(words) >= n else len(words)
+            own = [(at, w) for at in range(len(words) - size + 1) if words and counts(w := words[at : at + size], form)]
+            distinct = {typed(w) for _, w in own}
+            where = defaultdict(list)
+            for at, w in own:
+                where[typed(w)].append((at, w))
+            for d, text in templates if own else ():
+                by_shift = defaultdict(list)
+                for at in range(len(text) - size + 1 if size >= 3 else len(text) == size):
+                    w = text[at : at + size]
+                    for own_at, x in where.get(typed(w), ()):
+                        by_shift[at - own_at].append([(a, b) for a, b in zip(x, w) if a.startswith("\x01")] + [typed(w)])
+                hit, same = set(), True
+                for rows in by_shift.values():
+                    votes = Counter(p for *ps, _ in rows for p in ps)
+                    order = {p: (-v, *p) for p, v in votes.items()}
+                    agreed = {p for p in votes if not any(order[q] < order[p] and (q[0] == p[0] or q[1] == p[1] and not p[0].startswith("\x01n")) for q in votes)}
+                    for *ps, t in rows:
+                        if all(a == b for a, b in ps) or all(p in agreed for p in ps):
+                            hit.add(t)
+                            same &= all(a == b for a, b in ps)
+                if hit and len(hit) >= share * len(distinct):
+                    found.setdefault((d, i), (len(hit), len(distinct), same))
+    return {(*k, *v) for k, v in found.items()}
 
 
 ITEMS = [
@@ -137,3 +151,67 @@ def test_empty_tables(spark):
     docs, none = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs, none).count() == 0 and D.without_leaks(docs, none).count() == len(DOCS)
     assert D.leaks(docs.limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def rows_of(spark, texts, name):
+    return spark.createDataFrame(list(texts), f"{name} long, text string")
+
+
+def test_names_of_several_words_and_short_items(spark):
+    items = [
+        (1, "Tom has 3 apples. Tom buys 4 more apples and gives half of them away to the children of the house."),
+        (2, "A train runs from New York to Boston in 4 hours and then goes back at night without a stop."),
+        (3, "Name the tallest mountain"),
+        (4, "Alice met Bob"),
+        (5, "2.5 3.5 4.5 5.5 6.5"),
+    ]
+    docs = [
+        (1, "Anna has 7 apples. Anna buys 9 more apples and gives half of them away to the children of the house."),
+        (2, "It says: A train runs from Paris to San Francisco Bay in 9 hours and then goes back at night without a stop. Yes."),
+        (3, "Please name the tallest mountain of this land, and its height."),
+        (4, "Carol met Dave and then alice met bob in town"),
+        (5, "Carol met Dave in the town"),
+        (6, "values: 1.5 2.5 3.5 4.5 5.5 6.5 7.5 and 9.5 8.5 7.5 6.5 5.5"),
+        (7, "9.5 8.5 7.5 6.5 5.5 4.5"),
+    ]
+    got = {tuple(r) for r in D.leaks(rows_of(spark, docs, "doc_id"), rows_of(spark, items, "item_id")).collect()}
+    assert got == plain_leaks(docs, items)
+    assert {(d, i, e) for d, i, _, _, e in got} == {(1, 1, False), (2, 2, False), (3, 3, True), (4, 4, True), (6, 5, True)}
+
+
+def planted(rng, n):
+    """Questions, and documents that hold each with other numbers, names and units, or as it is when it is short."""
+    some = [w for w in (f"{a}{b}{c}" for a in "bdfglmnprst" for b in "aeiou" for c in ("n", "rk", "st", "l", "mp")) if w not in D.UNITS]
+    names = [w.title() for w in some[::7]]
+
+    def text(k):
+        return " ".join(rng.choices(some, k=k))
+
+    items, docs = [], []
+    for i in range(n):
+        parts = [text(6), text(4), text(7), text(5)]
+
+        def filled(parts=parts):
+            a, b = rng.choice(names), " ".join(rng.sample(names, rng.randint(1, 2)))
+            return f"{a} {parts[0]} {rng.randint(2, 99)} {rng.choice(('km', 'miles', 'hours'))} {parts[1]} {b} {parts[2]} {rng.randint(2, 99)} {parts[3]}. {a} goes home."
+
+        item = text(rng.randint(3, 4)) if i % 4 == 0 else filled()
+        items.append((i, item))
+        docs.append((i, f"{text(30)}. {item if i % 4 == 0 else filled()} {text(20)}"))
+    return items, docs + [(n + k, f"{text(60)}.") for k in range(n)]
+
+
+def test_recall_on_planted_questions(spark):
+    items, docs = planted(random.Random(5), 80)
+    got = {tuple(r) for r in D.leaks(rows_of(spark, docs, "doc_id"), rows_of(spark, items, "item_id")).collect()}
+    assert got == plain_leaks(docs, items)
+    found = {(d, i) for d, i, *_ in got}
+    assert sum((i, i) in found for i, _ in items) >= 0.95 * len(items)
+    assert all(d == i for d, i in found)
+
+
+def test_every_leak_is_a_candidate(spark, monkeypatch):
+    docs, items = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    got = sorted(map(tuple, D.leaks(docs, items).collect()))
+    monkeypatch.setattr(D, "candidates", lambda *_: None)
+    assert got and got == sorted(map(tuple, D.leaks(docs, items).collect()))

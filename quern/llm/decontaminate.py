@@ -42,7 +42,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import free, written
 
 WINDOW = 5
 SHARE = 0.8
@@ -209,5 +209,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold a leaked item; all columns stay, null ids too."""
-    leaked = leaks(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(doc_id).eqNullSafe(F.col("__leaked")), "left_anti")
+    (name,) = free(docs, "__leaked")
+    leaked = leaks(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaked, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")

@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import free
 from .tokenize import pieces
 
 PLACES_LOG2 = 13
@@ -199,9 +200,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             rows = [model.predict(t.as_py()) for t in part]
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], list(OWN))
 
-    kept = [c for c in docs.columns if c not in OWN]
-    marked = docs.select(*kept, F.arrow_udf(found, FOUND)(F.col(text)).alias("__found"))
-    return marked.select(*kept, *(F.col(f"__found.{c}") for c in OWN))
+    kept, (name,) = [c for c in docs.columns if c not in OWN], free(docs, "__found")
+    marked = docs.select(*kept, F.arrow_udf(found, FOUND)(F.col(text)).alias(name))
+    return marked.select(*kept, *(F.col(f"{name}.{c}") for c in OWN))
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -12,8 +12,9 @@ Only DataFrame functions are used. Reruns agree: keys hash the id, and ties are
 
 Defined cases: a null text has size 0; a null source is a source, the last; sources without words
 get target 0; repeated rows are separate documents with the same key, taken one after the other;
-an empty table gives no row; an id may be null. Columns other than those named are not read by
-:func:`mix`; :func:`mixed` keeps all.
+very long texts are counted and cut whole; ties of the key are ordered by id and size; an empty
+table gives no row; an id may be null. Columns other than those named are not read by :func:`mix`;
+:func:`mixed` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import free, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a range of keys holds on average.
@@ -90,19 +91,20 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     between them. Documents of which nothing is taken (also those without words) do not appear.
     Rows that share an id and source take their shares together, as one document repeated.
     """
+    id_, source_, size_, taken_, copies_, words_, turn_ = free(docs, "__id", "__source", "__size", "__taken", "__copies", "__words", "__turn")
     rows = written(sized(docs, doc_id, text, source, seed), "mix-sizes")
-    found = mix(rows, epochs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("taken").alias("__taken"), F.count("*").alias("__copies"))
-    found = found.filter("__taken > 0").withColumn("__taken", F.ceil(F.col("__taken") / F.col("__copies")).cast("long"))
-    marked = docs.withColumn("__words", words(F.col(text)))
-    joined = marked.join(found, F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    rest = (F.col("__taken") % F.col("__size")).cast("int")
+    found = mix(rows, epochs).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_)).agg(F.sum("taken").alias(taken_), F.count("*").alias(copies_))
+    found = found.filter(F.col(taken_) > 0).withColumn(taken_, F.ceil(F.col(taken_) / F.col(copies_)).cast("long"))
+    marked = docs.withColumn(words_, words(F.col(text)))
+    joined = marked.join(found, F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(source_)) & (F.col(words_) == F.col(size_)))
+    whole = F.floor(F.col(taken_) / F.col(size_)).cast("int")
+    rest = (F.col(taken_) % F.col(size_)).cast("int")
     turns = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    # the text up to the end of word number `__turn`
+    # the text up to the end of word number ``turn_``
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("__turn"), F.lit(1))), "")
-    out = [F.when(F.col("__turn") < 0, F.col(text)).otherwise(cut).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return joined.withColumn("__turn", F.explode(turns)).select(*out)
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col(turn_), F.lit(1))), "")
+    out = [F.when(F.col(turn_) < 0, F.col(text)).otherwise(cut).alias(text) if c == text else F.col(c) for c in docs.columns]
+    return joined.withColumn(turn_, F.explode(turns)).select(*out)
 
 
 #: DuckDB form of the whole result with the default seed and epochs.

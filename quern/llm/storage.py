@@ -15,13 +15,15 @@ _own: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, one machine), a temporary folder is made,
-    and removed when the process ends.
+    Where the session names none and runs on one machine (tests), a temporary folder is made,
+    and removed when the process ends; a cluster without a shared folder is an error.
     """
     global _own
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="quern-shared-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
@@ -51,5 +53,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, with as many underscores added as make them no columns of ``docs``."""
+    taken, tail = {c.lower() for c in docs.columns}, ""
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return tuple(n + tail for n in names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

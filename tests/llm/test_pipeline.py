@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline as P
 from quern.llm import langid, mixing
 from tests.llm.test_decontaminate import plain_leaks
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_texts import plain_components
 from tests.llm.test_token_planes import plain_ids
 
 DATA = "/root/testdata/sf0.001"
@@ -34,8 +34,8 @@ def test_language(stages):
 
 
 def test_near_duplicates(stages):
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in stages[1].collect()}
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(plain_components(fps).values()))
+    roots = plain_components([(r.doc_id, r.text) for r in stages[1].collect()])
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(roots.values())) and len(set(roots.values())) < len(roots)
 
 
 def test_decontamination(spark, stages):
@@ -62,3 +62,18 @@ def test_tokens(stages):
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in stages[5].collect()) == rows
     starts = sorted((r.start, r.n_tokens) for r in stages[5].collect())
     assert [s for s, _ in starts] == np.cumsum([0, *(n for _, n in starts[:-1])]).tolist()
+
+
+def test_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, clashing names and an empty table go through every stage."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", None, 0), (-1, "", "en", None, 0), (None, "the of and that with " * 20, None, None, 1), (-2, "the of and that with " * 20, "en", "s", 1)], names)
+    rows = docs.select(*(f.split()[0] for f in names.split(", "))).union(odd).selectExpr("*", "'mine' AS __found", "1 AS score", "2 AS __words")
+    for table in (rows, rows.limit(0)):
+        now = P.written(table, "test-odd")
+        for name, stage in P.STAGES:
+            now = P.written(stage(spark, now, DATA), "test-odd")
+            if name != "tokens" and table is rows:
+                assert now.columns == rows.columns and {tuple(r) for r in now.select("__found", "score", "__words").collect()} == {("mine", 1, 2)}
+        assert (now.count() > 30) == (table is rows)

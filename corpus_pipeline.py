@@ -1,13 +1,16 @@
 """Corpus pipeline: language ID, near-duplicates, decontamination, mixing, token output.
 
-Each stage takes all that its predecessor kept; all but the last return the columns of documents.
+Each stage takes all that its predecessor kept; all but the last return the columns of documents,
+extra ones too, whatever their names. Stages work on whole texts. A null or empty text has no
+language, so the first stage rejects it, with every text that has no letter; null ids, repeated rows
+and empty tables are treated as the stages' operators say.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, langid, mixing, simhash, token_planes
+from quern.llm import decontaminate, langid, mixing, near_texts, token_planes
 from quern.llm.entries import tokenizer_path
 from quern.llm.storage import new_path, table, written
 
@@ -19,7 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """One document of each component of texts whose five-word shingles are similar by 0.8 or more."""
+    return near_texts.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

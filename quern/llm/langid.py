@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import free
+from .storage import free, release
 from .tokenize import pieces
 
 PLACES_LOG2 = 13
@@ -211,6 +211,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def kept(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
             yield pa.array([not model.predict(t.as_py())[2] for t in part], pa.bool_())
+        release()
 
     return docs.filter(F.arrow_udf(kept, "boolean")(F.col(text)))
 

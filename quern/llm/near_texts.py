@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .simhash import _LOWER, BITS, FRONTIER
-from .storage import free, written
+from .storage import free, release, written
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -108,6 +108,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * BANDS), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.string()), pa.array(np.array(fps, np.uint64).view(np.int64)), bands], ["doc_id", "th", "class", "fp", "bands"])
+        release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text")).mapInArrow(sketched, f"doc_id {kind}, th long, class string, fp long, bands array<long>")
@@ -136,6 +137,7 @@ def proposed(classes: DataFrame, budget: int, hot: int) -> DataFrame:
             a.append(fp[lo:hi][links[:, 0]]), b.append(fp[lo:hi][links[:, 1]])
         a, b = (np.concatenate(x).view(np.int64) for x in (a, b))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        release()
 
     crowded = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).filter(F.col("n") > hot).select("key", "least"), "crowded")
     if crowded.isEmpty():

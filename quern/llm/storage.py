@@ -53,6 +53,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def free(docs: DataFrame, *names: str) -> tuple[str, ...]:
     """``names``, with as many underscores added as make them no columns of ``docs``."""
     taken, tail = {c.lower() for c in docs.columns}, ""

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import release
 from .tokenize import word_encoder
 
 BLOCK_IDS = 65_536
@@ -125,6 +126,7 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1, block_ids: i
         made, _ = cut(b"".join(waiting), True)
         for row in made:
             yield _arrow([row])
+        release()
 
     key = F.col(doc_id).cast("long").alias("doc_id")
     ordered = docs.select(key, F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))

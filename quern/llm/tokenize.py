@@ -10,7 +10,7 @@ from struct import pack
 import numpy as np
 
 #: Bytes that a worker's memo takes at most, by estimate; past it the memo is emptied and fills again.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 64 << 20
 #: What an entry of a memo takes besides its key and value: two objects' heads and a place in the table.
 ENTRY_BYTES = 170
 #: Longer words are encoded but not remembered.

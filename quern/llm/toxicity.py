@@ -37,6 +37,12 @@ IDENTITIES = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"), ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
     ("black", "white", "asian", "latino"), ("muslim", "christian", "jewish", "hindu", "buddhist"), ("muslims", "christians", "jews", "hindus", "buddhists"),
     ("african", "european", "mexican", "chinese", "indian", "american"), ("immigrant", "native"), ("immigrants", "natives"), ("old", "young"), ("disabled", "abled"), ("deaf", "hearing"), ("blind", "sighted"),
+    # German
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("schwul", "hetero", "lesbisch"), ("schwarze", "weiße"), ("muslime", "christen", "juden", "hindus"), ("türken", "deutsche", "polen", "russen"), ("ausländer", "einheimische"),
+    # Spanish
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("gays", "heteros", "lesbianas"), ("negros", "blancos"), ("musulmanes", "cristianos", "judíos", "hindúes"), ("mexicanos", "españoles", "chinos", "gitanos"), ("inmigrantes", "nativos"),
+    # French
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("gais", "hétéros", "lesbiennes"), ("noirs", "blancs"), ("musulmans", "chrétiens", "juifs", "hindous"), ("arabes", "français", "chinois", "allemands"), ("immigrés", "natifs"),
 )
 #: Words that a worker remembers at most.
 MEMO_WORDS = 400_000

@@ -10,8 +10,8 @@ NOT_AVAILABLE = ("#N/A", "#NV", "#N/D", "#N/D!", "#N/B", "#Н/Д", "#I/T", "#PUU
 #: Fixed value: the shape of all other error cells.
 ERROR_SHAPE = r"^#[\p{Lu}\p{Nd}_/.¡¿]{1,24}[!?]$"
 
-#: Zeros of the digit blocks that are read as ASCII digits (each block has ten digits in a row).
-DIGIT_ZEROS = (0x0660, 0x06F0, 0x07C0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0E50, 0x0ED0, 0x0F20, 0x1040, 0xFF10)
+#: Zeros of the digit blocks that are read as ASCII digits (each block has ten digits in a row).
+DIGIT_ZEROS = (0x0660, 0x06F0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0E50, 0x0ED0, 0x0F20, 0x1040, 0x17E0, 0xFF10)
 SEPARATORS = {"٫": ".", "٬": ",", "．": ".", "，": ","}
 
 

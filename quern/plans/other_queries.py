@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quern.functions import names as N
 from quern.functions import text as X
 from quern.operators import aggregation as A
 from quern.operators import geo as G
@@ -124,10 +125,16 @@ def _(s, d):
     return s.createDataFrame([(c,) for c in CELLS], "cell string").select("cell", X.blank_errors(F.col("cell")).alias("clean"))
 
 
-@R.add("fold_numerals", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS folded FROM orders")
+#: One digit block for each remainder of an order's key: all that are read, and one (N'Ko) that is not.
+_BLOCKS = (*X.DIGIT_ZEROS, 0x07C0)
+
+
+@R.add("fold_numerals", f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(_BLOCKS)} = {len(_BLOCKS) - 1} THEN translate(CAST(o_orderkey AS VARCHAR), '0123456789', '{''.join(chr(0x07C0 + k) for k in range(10))}') ELSE CAST(o_orderkey AS VARCHAR) END AS folded FROM orders")
 def _(s, d):
-    arabic = F.translate(F.col("o_orderkey").cast("string"), "0123456789", "".join(chr(0x660 + k) for k in range(10)))
-    return t(s, d, "orders").select("o_orderkey", X.fold_numerals(arabic).alias("folded"))
+    key, written = F.col("o_orderkey").cast("string"), F.lit(None).cast("string")
+    for k, zero in enumerate(_BLOCKS):
+        written = F.when(F.col("o_orderkey") % len(_BLOCKS) == k, F.translate(key, "0123456789", "".join(chr(zero + n) for n in range(10)))).otherwise(written)
+    return t(s, d, "orders").select("o_orderkey", X.fold_numerals(written).alias("folded"))
 
 
 @R.add("detect_decimal_sep", "SELECT count(*) FILTER (o_totalprice <> floor(o_totalprice)) AS commas, 0 AS dots, ',' AS separator FROM orders")
@@ -235,15 +242,14 @@ def _(s, d):
     return t(s, d, "customer").select("c_custkey", X.letter_runs(F.col("c_name")).alias("runs"))
 
 
-_FOLD = "SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(left(text, 60), 'ß', 'ss'))), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS folded FROM documents"
-
-
-@R.add("f_fold_name", _FOLD)
+@R.add("f_fold_name", "SELECT doc_id, strip_accents(text) AS folded FROM documents")
 def _(s, d):
-    return t(s, d, "documents").select("doc_id", G.normal_name_column(F.substring("text", 1, 60)).alias("folded"))
+    return t(s, d, "documents").select("doc_id", N.fold_name(F.col("text")).alias("folded"))
 
 
-R.add("geo_normalize_name", _FOLD)(R["f_fold_name"])
+@R.add("geo_normalize_name", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS folded FROM documents")
+def _(s, d):
+    return t(s, d, "documents").select("doc_id", G.normal_name_column(F.col("text")).alias("folded"))
 
 
 @R.add("f_loose_key", "SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS key FROM part WHERE length(regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g')) >= 4")
@@ -258,9 +264,20 @@ def _(s, d):
     return s.createDataFrame([(n, is_identifier_name(n)) for n in ("LoanID", "StoreId", "ZipCode", "Revenue", "order_key", "Idea")], "name string, is_identifier boolean")
 
 
-@R.add("f_match_token")
+_TOKENS = (("type", "en"), ("brushed", "en"), ("steel", "de"), ("eel", "de"), ("in", "nl"))
+
+
+@R.add(
+    "f_match_token",
+    "WITH p AS (SELECT p_partkey, regexp_extract_all(lower(p_type), '[a-z0-9]+') AS w FROM part) "
+    + " UNION ALL ".join(
+        f"SELECT p_partkey, '{token}' AS token, CASE WHEN list_contains(w, '{token}') THEN 'word' WHEN {lang in N.COMPOUNDING} AND len(list_filter(w, lambda x: suffix(x, '{token}') AND length(x) >= {len(token) + N.COMPOUND_STEM})) > 0 THEN 'suffix' END AS found FROM p"
+        for token, lang in _TOKENS
+    ),
+)
 def _(s, d):
-    return s.createDataFrame([(n, w, w in words_of(n)) for n in ("NetRevenue", "revenues") for w in ("revenue",)], "name string, token string, matches boolean")
+    found = F.explode(F.array(*(F.struct(F.lit(token).alias("token"), N.token_view(F.lower("p_type"), token, lang).alias("found")) for token, lang in _TOKENS))).alias("x")
+    return t(s, d, "part").select("p_partkey", found).select("p_partkey", "x.*")
 
 
 @R.add("f_mask_text")
@@ -277,26 +294,58 @@ def _(s, d):
     return s.createDataFrame([("|".join(parts), crc32("|".join(parts).encode()))], "identity string, hash long")
 
 
-@R.add("f_string_hash")
+@R.add(
+    "f_string_hash",
+    "SELECT value, CAST(CASE WHEN value = '' THEN 0 ELSE list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(value, ''), lambda x: ord(x)::HUGEINT)), "
+    "lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) & 9007199254740991::HUGEINT END AS BIGINT) AS hash "
+    "FROM (SELECT DISTINCT p_type AS value FROM part UNION ALL SELECT '' UNION ALL SELECT 'Zürich')",
+)
 def _(s, d):
-    def fnv(text: str) -> int:
-        h = 0xCBF29CE484222325
-        for b in text.encode("utf-16-le"):
-            h = (h ^ b) * 0x100000001B3 % (1 << 64)
-        return h & ((1 << 53) - 1)
+    values = t(s, d, "part").select(F.col("p_type").alias("value")).distinct().union(s.createDataFrame([("",), ("Zürich",)], "value string"))
+    return values.select("value", N.string_hashes(F.col("value")).alias("hash"))
+
 
-    return s.createDataFrame([(v, fnv(v)) for v in ("", "a", "Zürich")], "value string, hash long")
+#: (column, display specifier, the model's format)
+_FORMATS = (
+    ("l_quantity", ",d", None), ("l_quantity", ".0f", None), ("l_extendedprice", "$,.2f", None), ("l_extendedprice", ",", None), ("l_extendedprice", None, "#,##0.## [$€-407];(#,##0.##)"),
+    ("l_discount", ".1%", None), ("l_discount", ".3~%", None), ("l_tax", "+.4~f", None), ("l_tax", ".2e", None), ("l_tax", "s", None), ("l_tax", None, "yyyy-mm-dd"),
+)
 
 
-@R.add("f_number_format")
+def _decimals(column: str, most: int, least: int = 0, percent: bool = False) -> str:
+    """SQL of the decimals that a format shows."""
+    value = f"round({column} * 100, 9)" if percent else column
+    return f"greatest({least}, least({most}, (SELECT max(length(regexp_extract(regexp_replace(CAST({value} AS VARCHAR), '\\.0+$', ''), '\\.([0-9]+)$', 1))) FROM lineitem)))"
+
+
+def _zeros(n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN '.' || repeat('0', CAST({n} AS BIGINT)) ELSE '' END"
+
+
+_CODES = (
+    "'#,##0'", "NULL", "'\"$\"#,##0.00'", f"'#,##0' || {_zeros(_decimals('l_extendedprice', 15))}", "'\"€\"#,##0' || {z} || ';(' || '\"€\"#,##0' || {z} || ');' || '\"€\"#,##0' || {z}".format(z=_zeros(_decimals("l_extendedprice", 2))),
+    "'0.0%'", f"'0' || {_zeros(_decimals('l_discount', 3, percent=True))} || '%'", "'+0' || {z} || ';-0' || {z} || ';0' || {z}".format(z=_zeros(_decimals("l_tax", 4))), "'0.00E+00'", "NULL", "NULL",
+)
+
+
+@R.add("f_number_format", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {repr(x) if x else 'NULL'} AS spec, {repr(m) if m else 'NULL'} AS model, CAST({code} AS VARCHAR) AS code" for (c, x, m), code in zip(_FORMATS, _CODES, strict=True)))
 def _(s, d):
-    formats = {"$,.2f": '"$"#,##0.00', ",d": "#,##0", ".1%": "0.0%", ".0f": "0", ",.2f": "#,##0.00"}
-    return s.createDataFrame(list(formats.items()), "spec string, code string")
+    """Workbook formats of columns, by the decimals that their data have: one pass, one row."""
+    formats = [(c, x, m, N.workbook_format(x, m)) for c, x, m in _FORMATS]
+    values = [F.round(F.col(c) * 100, 9) if f and f.percent else F.col(c) for c, _, _, f in formats]
+    found = t(s, d, "lineitem").agg(*(F.max(N.fraction_digits(v)).alias(f"n{k}") for k, v in enumerate(values))).first()
+    return s.createDataFrame([(c, x, m, f.code(found[k] or 0) if f else None) for k, (c, x, m, f) in enumerate(formats)], "column string, spec string, model string, code string")
 
 
-@R.add("f_dax_literal")
+@R.add(
+    "f_dax_literal",
+    """SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS key, 'DATE(' || year(o_orderdate) || ', ' || month(o_orderdate) || ', ' || day(o_orderdate) || ')' || CASE WHEN hour(o_orderdate) + minute(o_orderdate) + second(o_orderdate) > 0 THEN ' + TIME(' || hour(o_orderdate) || ', ' || minute(o_orderdate) || ', ' || second(o_orderdate) || ')' ELSE '' END AS date,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'BLANK()' ELSE '"' || replace(replace(o_orderpriority, '-', '"'), '"', '""') || '"' END AS text, CASE WHEN o_totalprice > 100000 THEN 'TRUE()' ELSE 'FALSE()' END AS large FROM orders""",
+)
 def _(s, d):
-    return s.createDataFrame([("a\"b", '"a""b"'), ("1", '"1"')], "value string, literal string")
+    o = t(s, d, "orders")
+    quoted = F.when(F.col("o_orderkey") % 5 != 0, F.translate("o_orderpriority", "-", '"'))
+    return o.select("o_orderkey", N.dax_literal(F.col("o_orderkey"), "bigint").alias("key"), N.dax_literal(F.col("o_orderdate"), "timestamp").alias("date"), N.dax_literal(quoted, "string").alias("text"), N.dax_literal(F.col("o_totalprice") > 100000, "boolean").alias("large"))
 
 
 @R.add("f_nice_step", "SELECT o_orderkey, p * CASE WHEN r / p <= 1 THEN 1.0 WHEN r / p <= 2 THEN 2.0 WHEN r / p <= 5 THEN 5.0 ELSE 10.0 END AS step FROM (SELECT o_orderkey, o_totalprice / 100.0 AS r, 10.0 ** floor(log10(o_totalprice / 100.0)) AS p FROM orders WHERE o_totalprice > 0)")

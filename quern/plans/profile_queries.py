@@ -158,11 +158,11 @@ def _(s, d):
     return parts[0].union(parts[1])
 
 
-@R.add("prof_free_text", "SELECT doc_id, length(text) >= 3 AS free_text FROM documents WHERE length(text) > 40 AND text LIKE '% %'")
+@R.add("prof_free_text")
 def _(s, d):
     from quern.functions.text import signature
 
-    docs = t(s, d, "documents").filter("length(text) > 40 AND text LIKE '% %'")
+    docs = t(s, d, "documents")
     return docs.select("doc_id", P.free_text(signature(F.col("text")), F.length("text")).alias("free_text"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import filters as L
 from quern.operators import star as S
-from quern.operators.ranks import with_row_index
+from quern.operators.ranks import in_turn, with_row_index
 from quern.plans.common import Registry, t, union
 
 R = Registry()
@@ -100,7 +100,7 @@ def _(s, d):
 @R.add("rowmap_translate", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS source_row, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS payload_row FROM orders")
 def _(s, d):
     """Positions of the same rows in two orders, without a one-task sort."""
-    o = t(s, d, "orders").select("o_orderkey", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("by_date"))
+    o = t(s, d, "orders").select("o_orderkey", in_turn(F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")).alias("by_date"))
     return with_row_index(with_row_index(o, "o_orderkey", "source_row"), "by_date", "payload_row").select("o_orderkey", "source_row", "payload_row")
 
 
@@ -412,10 +412,8 @@ def _(s, d):
 
 @R.add("win_tercile", "SELECT c_custkey, CAST(ntile(3) OVER (ORDER BY c_acctbal, c_custkey) - 1 AS INT) AS tercile FROM customer")
 def _(s, d):
-    from quern.operators.ranks import with_row_index
-
     c = t(s, d, "customer").select("c_custkey", F.col("c_acctbal").alias("b"))
-    i = with_row_index(c.withColumn("k", F.struct("b", "c_custkey").cast("string")).select("c_custkey", (F.round(F.col("b") * 100).cast("long") * 10_000_000 + F.col("c_custkey")).alias("key")), "key", "i")
+    i = with_row_index(c.select("c_custkey", in_turn(F.round(F.col("b") * 100).cast("long"), F.col("c_custkey")).alias("key")), "key", "i")
     n = c.agg(F.count("*").alias("n"))
     big, small = F.col("n") % 3, F.floor(F.col("n") / 3)
     at = F.when(F.col("i") < big * (small + 1), F.floor(F.col("i") / (small + 1))).otherwise(big + F.floor((F.col("i") - big * (small + 1)) / small))

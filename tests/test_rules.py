@@ -231,3 +231,44 @@ def test_request_facts(spark):
     whole = kept.union(values(spark, [("b", 1), ("c", 1), ("b", 1)], "x string, y int"))
     assert [tuple(r) for r in Q.withheld_values(whole, kept, ["x", "y"], 20).collect()] == [("x", 2, ["b", "c"])]
     assert [tuple(r) for r in Q.withheld_values(whole, kept, ["x", "y"], 10).collect()] == [("x", 2, None)]
+
+
+def test_names_hashes_formats_and_literals(spark):
+    from quern.functions import names as N
+
+    one = lambda f, *v: [r[0] for r in spark.createDataFrame([(x,) for x in v], "x string").select(f(F.col("x"))).collect()]
+    assert one(N.fold_name, "Température", "Udział", "Sıcaklık", "٢٠٢٤", "Straße, Ａb!", "한국 😀", "", None) == ["Temperature", "Udzial", "Sicaklik", "2024", "Straße, Ab!", "한국 😀", "", None]
+    view = lambda token, lang: lambda x: N.token_view(x, token, lang)
+    assert one(view("temperatur", "de"), "Durchschnittstemperatur", "Temperatur", "abtemperatur", "temp") == ["suffix", "word", None, None]
+    assert one(view("revenue", "en"), "NetRevenue", "netrevenue") == ["word", None]
+    assert one(view("売上", "ja"), "売上高_2024年", "年") == ["substring", None] and one(view("日", "ja"), "日付") == [None]
+    assert one(view("매출", "ko"), "분기매출", "총매출") == ["suffix", None]
+    assert one(view("إيرادات", "ar"), "الإيرادات") == ["prefix"]
+    assert [N.string_hash(v) for v in ("", None)] == [0, 0] and N.string_hash("a") == (0xCBF29CE484222325 ^ 97) * 0x100000001B3 % 2**64 % 2**53
+    code = lambda spec, model=None, n=0: (f.code(n) if (f := N.workbook_format(spec, model)) else None)
+    assert [code(x) for x in ("$,.2f", ",d", ".1%", ".0f", "(,.2f", "s", "what")] == ['"$"#,##0.00', "#,##0", "0.0%", None, "#,##0.00;(#,##0.00);#,##0.00", None, None]
+    assert [code(",", n=3), code(".4~f", n=2), code(".2e"), code("+d")] == ["#,##0.000", "0.00", "0.00E+00", "+0;-0;0"]
+    assert [code(None, m, 1) for m in ("#,0.##", '0.0 "€"', "\\$#,0;(\\$#,0)", "0%", "dd/mm/yyyy", "General")] == ["#,##0.0", '0.0"€"', '"$"#,##0;("$"#,##0);"$"#,##0', "0%", None, None]
+    rows = spark.sql("SELECT timestamp'2024-03-05 00:00:00' AS a, timestamp'2024-03-05 06:07:08' AS b, 1.5D AS c, 2.0D AS d, CAST(NULL AS string) AS e, true AS f, 'a\"b' AS g")
+    kinds = dict(rows.dtypes)
+    assert tuple(rows.select(*(N.dax_literal(F.col(c), kinds[c]) for c in rows.columns)).first()) == ("DATE(2024, 3, 5)", "DATE(2024, 3, 5) + TIME(6, 7, 8)", "1.5", "2", "BLANK()", "TRUE()", '"a""b"')
+
+
+def test_keys_of_two_columns_order_exactly(spark):
+    from quern.operators.ranks import in_turn
+
+    rows = [(1, 10_000_006), (2, 3), (-5, 9 * 10**18), (1, 7), (2, 2)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", in_turn(F.col("a"), F.col("b")).alias("k")).orderBy("k").collect()
+    assert [(r.a, r.b) for r in got] == sorted(rows)
+
+
+def test_free_text_of_every_document(spark):
+    import regex
+
+    from quern.functions.text import SIGNATURES
+    from quern.plans import registry
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    sign = lambda v: next((n for n, shape, also in SIGNATURES if regex.search(shape, v) and (not also or regex.search(also, v))), None)
+    want = {d: sign(v) in ("SENTENCE_TEXT", "TITLE_CASE_WORDS", "LOWER_WORDS", "MIXED") and len(v) >= 3 for d, v in docs.items()}
+    assert {r.doc_id: r.free_text for r in registry.queries()["prof_free_text"](spark, "/root/testdata/sf0.001").collect()} == want

@@ -1,15 +1,17 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over hashed words and character n-grams (whether they occur, not how often). It
-is fit on a bounded sample of labelled rows. Sentences that name a group are also featured with
-the group's name swapped for another's, and differences between the two scores are penalised,
-``penalty`` times their mean square: what a group is called then says little about the score, so
-neutral mentions are not taken for abuse.
+is fit on a bounded sample of labelled rows. Texts that name groups are also featured with one group's
+name swapped for another's, name by name, so that texts that name both change as well; differences
+between the two scores are penalised, ``penalty`` times their mean square: what a group is called
+then says little about the score, so neutral mentions are not taken for abuse.
 
-Fitting gathers at most ``positives`` + ``negatives`` hashed feature lists on the driver; scoring
-reads whole texts where they are, and no row is shuffled.
+Fitting gathers at most ``positives`` + ``negatives`` hashed feature lists on the driver, and up to
+``SWAPS`` swapped ones of each; scoring reads whole texts where they are, a very long one in pieces
+that end between words, and no row is shuffled.
 
-Defined cases: null and empty texts have the score of no feature; without labelled rows of both
+Defined cases: null and empty texts have the score of no feature; of equal hashes of keys the lesser
+key is sampled; without labelled rows of both
 classes every score is the share of label 1 in the sample (0 if it is empty); repeated rows are scored alike;
 an empty table gives no row. :func:`score` keeps all columns; columns of its own names are replaced.
 """
@@ -44,8 +46,10 @@ IDENTITIES = (
     # French
     ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("gais", "hétéros", "lesbiennes"), ("noirs", "blancs"), ("musulmans", "chrétiens", "juifs", "hindous"), ("arabes", "français", "chinois", "allemands"), ("immigrés", "natifs"),
 )
-#: Words that a worker remembers at most.
-MEMO_WORDS = 400_000
+#: Swaps of a sampled text that are learned from at most, those of its terms that sort first.
+SWAPS = 8
+#: Words that a worker remembers at most, and the longest that it does.
+MEMO_WORDS, LONGEST_WORD = 200_000, 64
 #: Characters of a text that are split at a time.
 PIECE = 1 << 20
 
@@ -93,7 +97,9 @@ class Model:
             if hit is None:
                 if len(memo) >= MEMO_WORDS:
                     memo.clear()
-                hit = memo[w] = tuple(f for f in features(w) if f in self.weights)
+                hit = tuple(f for f in features(w) if f in self.weights)
+                if len(w) <= LONGEST_WORD:
+                    memo[w] = hit
             if hit:
                 found.update(hit)
         z = self.bias + sum(self.weights[f] for f in sorted(found))
@@ -106,8 +112,13 @@ def _matrix(bags: list[np.ndarray], place: dict[int, int]) -> tuple[np.ndarray,
     return np.repeat(np.arange(len(bags)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.empty(0, np.int64)
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, swapped: dict[int, np.ndarray], penalty: float = PENALTY) -> Model:
-    """Fit the weights. ``bags``: features of each row; ``swapped``: those of rows with swapped terms."""
+def counterfactuals(found: set[str], swap: dict[str, str], most: int = SWAPS) -> list[set[str]]:
+    """The words with one identity term at a time swapped for the next of its group."""
+    return [(found - {w}) | {swap[w]} for w in sorted(found & swap.keys())[:most]]
+
+
+def train(bags: list[np.ndarray], labels: np.ndarray, swapped: dict[int, np.ndarray] | list[tuple[int, np.ndarray]], penalty: float = PENALTY) -> Model:
+    """Fit the weights. ``bags``: features of each row; ``swapped``: rows' numbers with their features after a swap."""
     n, pos = len(bags), int(labels.sum()) if len(bags) else 0
     if pos in (0, n):
         share = pos / n if n else 0.0
@@ -123,9 +134,9 @@ def train(bags: list[np.ndarray], labels: np.ndarray, swapped: dict[int, np.ndar
     kept = kept[z[kept] >= LEAST_Z]
     place = {int(f): k for k, f in enumerate(kept)}
     row, col = _matrix(bags, place)
-    pairs = sorted(swapped)
-    prow, pcol = _matrix([swapped[i] for i in pairs], place)
-    orow, ocol = _matrix([bags[i] for i in pairs], place)
+    pairs = sorted(swapped.items()) if isinstance(swapped, dict) else swapped
+    prow, pcol = _matrix([b for _, b in pairs], place)
+    orow, ocol = _matrix([bags[i] for i, _ in pairs], place)
     m, k = len(place), len(pairs)
     w, b = np.zeros(m), float(np.log(pos / (n - pos)))
     g2, v, u = np.zeros(m + 1), np.zeros(m + 1), 0.9
@@ -159,14 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             for t in batch.column(1):
                 found = words(t.as_py())
                 own.append(places(found))
-                other.append(places({swap.get(w, w) for w in found}) if found & swap.keys() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["label", "own", "other"])
+                other.append([places(x) for x in counterfactuals(found, swap)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["label", "own", "other"])
 
     # the sample has a bounded number of rows
     chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key")
-    got = chosen.select("label", "text").mapInArrow(featured, "label int, own array<int>, other array<int>").toArrow()
+    got = chosen.select("label", "text").mapInArrow(featured, "label int, own array<int>, other array<array<int>>").toArrow()
     bags = [x.values.to_numpy() for x in got["own"]]
-    swapped = {i: x.values.to_numpy() for i, x in enumerate(got["other"]) if x.is_valid}
+    swapped = [(i, x.values.to_numpy()) for i, row in enumerate(got["other"]) for x in row]
     return train(bags, got["label"].to_numpy().astype(float), swapped, penalty)
 
 

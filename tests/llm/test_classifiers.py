@@ -92,3 +92,33 @@ def test_toxicity_edge_cases(spark):
     rows = toxicity.score(docs, model).collect()
     assert rows[0].score == rows[1].score and rows[2] == rows[3] and toxicity.score(docs.limit(0), model).count() == 0
     assert toxicity.words("Ab" + "c" * toxicity.PIECE + " d") == {"ab" + "c" * toxicity.PIECE, "d"}
+
+
+def test_each_identity_term_is_swapped_alone():
+    swap = toxicity.swaps()
+    assert toxicity.counterfactuals({"women", "and", "men"}, swap) == [{"women", "and"}, {"men", "and"}]
+    assert toxicity.counterfactuals({"no", "group"}, swap) == []
+    assert all(swap[w] != w for w in swap) and {"frauen", "mujeres", "femmes"} <= swap.keys()
+
+
+def test_letters_are_letters_only(model):
+    assert [model.predict(t)[0] for t in ("½ ²", "½", "Ⅷ ²", "_ 12")] == ["und"] * 4
+
+
+def test_prediction_is_the_nearest_centroid(model):
+    """Cosines in plain Python, from the model's parts."""
+    import math
+    from collections import Counter
+
+    for text in ("The cat and the dog that we saw.", "Der Hund und die Katze, nicht?", "x"):
+        letters = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        b = letters.encode()
+        grams = [b[i] << 8 | b[i + 1] for i in range(len(b) - 1)] + [1 << 24 | b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)]
+        n = Counter(g * 2654435761 % 2**32 >> (32 - langid.PLACES_LOG2) for g in grams)
+        v = {p: (1 + math.log(c)) * model.idf[p] for p, c in n.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(c[p] * x for p, x in v.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        lang, score, rejected = model.predict(text)
+        assert lang == model.languages[best] and abs(score - min(1, max(0, cosines[best]))) < 1e-5
+        assert rejected == (cosines[best] < model.least[best, sum(n.values()).bit_length() - 1])

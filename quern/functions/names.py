@@ -35,6 +35,11 @@ def _folds() -> dict[str, str]:
 _FOLDS = _folds()
 
 
+def fold(name: str) -> str:
+    """:func:`fold_name` of one name."""
+    return "".join(_FOLDS.get(c, c) for c in name)
+
+
 def fold_name(x: Column) -> Column:
     """Accents, strokes, full-width letters and foreign digits as plain characters; length, case and punctuation stay."""
     return F.translate(x, "".join(_FOLDS), "".join(_FOLDS.values()))
@@ -61,7 +66,7 @@ def token_view(name: Column, token: str, language: str) -> Column:
         inside = F.exists(F.regexp_extract_all(F.lower(name), F.lit(_RUN), 0), lambda r: r.contains(token))
         return F.when(inside, "substring") if len(token) >= RUN_TOKEN else F.lit(None).cast("string")
     if language != "vi":  # there a mark makes another word
-        name, token = fold_name(name), "".join(_FOLDS.get(c, c) for c in token)
+        name, token = fold_name(name), fold(token)
     words = X.name_words(name)
 
     def ends(stem: int) -> Column:

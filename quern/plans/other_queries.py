@@ -24,7 +24,11 @@ def shared(s, name: str) -> str:
     import tempfile
     import uuid
 
-    folder = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    folder = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.gettempdir()
     return f"{folder}/quern-{name}-{uuid.uuid4().hex}"
 
 

@@ -272,3 +272,14 @@ def test_free_text_of_every_document(spark):
     sign = lambda v: next((n for n, shape, also in SIGNATURES if regex.search(shape, v) and (not also or regex.search(also, v))), None)
     want = {d: sign(v) in ("SENTENCE_TEXT", "TITLE_CASE_WORDS", "LOWER_WORDS", "MIXED") and len(v) >= 3 for d, v in docs.items()}
     assert {r.doc_id: r.free_text for r in registry.queries()["prof_free_text"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_additivity_by_name():
+    from quern.operators import aggregation as A
+
+    rates = ("Profit Margin", "ProfitMargin", "Température", "Udział", "z_score", "CreditScore", "GDPPerCapita", "ppm", "latency")
+    assert {n: A.additivity_of(n) for n in rates} == dict.fromkeys(rates, "intensive_rate")
+    sums = ("Price", "Tax", "Discount", "Storage", "Usage", "Capital", "Lat", "lng")
+    assert {n: A.additivity_of(n) for n in sums} == dict.fromkeys(sums, "additive")
+    assert A.additivity_of("StoreLatitude", "additive") == A.additivity_of("longitude") == "suppressed"
+    assert A.additivity_of("Margin", "part_of_whole") == "part_of_whole" and A.additivity_of("Margin", "unknown") == "intensive_rate"

@@ -1,9 +1,10 @@
 """Chat formatting with schema fingerprints.
 
-A record's layout is the set of its nested field paths, out of a known vocabulary, so extra fields
-do not matter. The sorted paths are hashed; the hash selects a declarative mapping that turns the
-record into canonical turns (role, text). Layouts of typed tables are hashed from their schema,
-those of JSON records row by row, so one column may mix layouts.
+A record's layout is the set of its nested field paths with their kinds (value, list, object), out of
+a known vocabulary, so extra fields do not matter, but a known field of another kind does. The sorted
+paths are hashed; the hash selects a declarative mapping that turns the record into canonical turns
+(role, text). Layouts of typed tables are hashed from their schema, those of JSON records row by row
+over all elements of their lists, so one column may mix layouts.
 
 Turns are written between control strings. In texts and roles a backslash is doubled and one is
 put into every control string after its first character, so no text can forge a turn, and reading
@@ -14,8 +15,9 @@ Only DataFrame functions are used.
 
 Defined cases: null roles and texts are empty ones; turns that tie are ordered by role, then text;
 repeated rows are repeated turns; a null conversation id is a conversation; an empty table gives no
-row; JSON that cannot be read, or of a layout without a mapping, has null turns and ``layout`` null,
-so callers can count them. Columns other than those named are not read. A conversation is one
+row; JSON that cannot be read (a key repeated in one object included), or of a layout without a mapping,
+has null turns and ``layout`` null, so callers can count them; a message that lacks its role or text has an
+empty one; very long texts are kept whole, up to the 2 GB of a value. Columns other than those named are not read. A conversation is one
 value of the result, so its turns meet in one task; so does the digest of its whole text.
 """
 
@@ -27,12 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import free
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout becomes turns: a list of messages, or fields that are turns themselves."""
+    """How one layout becomes turns: ``parts``, then the messages of a list, then ``after``; or rows that are turns."""
 
     name: str
     paths: tuple[str, ...]
@@ -40,52 +44,106 @@ class Mapping:
     role: str | None = None
     text: str | None = None
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()  # (role, fields joined by a blank line)
+    after: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+
+def _values(*fields: str) -> tuple[str, ...]:
+    return tuple(f"{f}:value" for f in fields)
+
+
+def _fields(name: str, *parts: tuple[str, tuple[str, ...]]) -> Mapping:
+    return Mapping(name, _values(*(f for _, fields in parts for f in fields)), parts=parts)
 
 
+def _list(name: str, field: str, role: str, text: str, parts=(), after=(), others: tuple[str, ...] = ()) -> Mapping:
+    paths = _values(f"{field}[].{role}", f"{field}[].{text}", *(f for _, fields in (*parts, *after) for f in fields))
+    return Mapping(name, paths + others, field, role, text, tuple(parts), tuple(after))
+
+
+_SYSTEM = ("system", ("system",))
 MAPPINGS = (
-    Mapping("rows", ("conv_id", "role", "text", "turn"), None, "role", "text"),
-    Mapping("messages", ("messages[].content", "messages[].role"), "messages", "role", "content"),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), "conversations", "from", "value"),
-    Mapping("turns", ("turns[].role", "turns[].text"), "turns", "role", "text"),
-    Mapping("prompt-completion", ("completion", "prompt"), parts=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping("prompt-response", ("prompt", "response"), parts=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping("system-prompt-response", ("prompt", "response", "system"), parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping("question-answer", ("answer", "question"), parts=(("user", ("question",)), ("assistant", ("answer",)))),
-    Mapping("instruction", ("instruction", "output"), parts=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Mapping("instruction-input", ("input", "instruction", "output"), parts=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("rows", _values("conv_id", "role", "text", "turn"), None, "role", "text"),
+    _list("messages", "messages", "role", "content"),
+    _list("messages-parts", "messages", "role", "content[].text"),
+    _list("system-messages", "messages", "role", "content", parts=(_SYSTEM,)),
+    _list("nested-messages", "data.messages", "role", "content"),
+    _list("conversations", "conversations", "from", "value"),
+    _list("system-conversations", "conversations", "from", "value", parts=(_SYSTEM,)),
+    _list("turns", "turns", "role", "text"),
+    _list("prompt-messages", "prompt", "role", "content", after=(("assistant", ("completion",)),)),
+    _list("chosen-messages", "chosen", "role", "content", others=_values("rejected[].role", "rejected[].content")),
+    Mapping("prompt-chosen", _values("prompt", "chosen", "rejected"), parts=(("user", ("prompt",)), ("assistant", ("chosen",)))),
+    _fields("prompt-completion", ("user", ("prompt",)), ("assistant", ("completion",))),
+    _fields("prompt-response", ("user", ("prompt",)), ("assistant", ("response",))),
+    _fields("system-prompt-response", _SYSTEM, ("user", ("prompt",)), ("assistant", ("response",))),
+    _fields("question-answer", ("user", ("question",)), ("assistant", ("answer",))),
+    _fields("instruction", ("user", ("instruction",)), ("assistant", ("output",))),
+    _fields("instruction-input", ("user", ("instruction", "input")), ("assistant", ("output",))),
+    _fields("system-instruction", _SYSTEM, ("user", ("instruction",)), ("assistant", ("output",))),
+    _fields("system-instruction-input", _SYSTEM, ("user", ("instruction", "input")), ("assistant", ("output",))),
 )
 #: Speakers' names in layouts that have their own.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
-_LISTS = tuple(m.list_field for m in MAPPINGS if m.list_field)
-_VOCABULARY = sorted({p for m in MAPPINGS for p in m.paths})
+#: Field names of all mappings, their lists included.
+_VOCABULARY = sorted({p.split(":")[0] for m in MAPPINGS for p in m.paths} | {p.split("[]")[0] for m in MAPPINGS for p in m.paths if "[]" in p})
+
+
+def _lists() -> dict[str, list[str]]:
+    """The lists that mappings know, and the fields of their elements."""
+    found: dict[str, list[str]] = {}
+    for name in _VOCABULARY:
+        field, inside, rest = name.partition("[].")
+        if inside and "[]" not in rest and rest not in found.setdefault(field, []):
+            found[field].append(rest)
+    return found
 
 
 def fingerprint(paths: Column) -> Column:
-    """Hash of an array of field paths: sorted, and only those of the vocabulary."""
-    known = F.array(*map(F.lit, _VOCABULARY))
-    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n"))
+    """Hash of an array of ``path:kind``: sorted, each once."""
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
 def schema_paths(schema: T.StructType, prefix: str = "") -> list[str]:
-    """Nested field paths of a schema; arrays are marked ``[]``."""
+    """Nested field paths of a schema with their kinds; arrays are marked ``[]``."""
     found = []
     for f in schema.fields:
         kind, path = f.dataType, prefix + f.name
         while isinstance(kind, T.ArrayType):
             kind, path = kind.elementType, path + "[]"
-        found += schema_paths(kind, path + ".") if isinstance(kind, T.StructType) else [path]
+        found += schema_paths(kind, path + ".") if isinstance(kind, T.StructType) else [path + ":value"]
     return found
 
 
+def _at(x: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(x, f"$.{path}", kind)
+
+
+def _kind(x: Column) -> Column:
+    """value, list or object; null where there is nothing. A JSON null is a value."""
+    schema = F.schema_of_variant(x)
+    return F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "list").when(schema.isNotNull(), "value")
+
+
 def json_paths(record: Column) -> Column:
-    """Field paths of a JSON object: its keys, and the keys of the first element of known lists."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    """Field paths, with their kinds, of the vocabulary in a JSON object (a variant), over all elements of known lists."""
+    none = F.array().cast("array<string>")
+    top = [F.concat(F.lit(f"{p}:"), _kind(_at(record, p))) for p in _VOCABULARY if "[]" not in p and p not in _lists()]
+
+    def inside(field: str, name: str) -> Column:
+        def path(x: Column) -> Column:
+            parts = _at(x, name, "array<variant>")
+            # a list is looked into if all its elements have a text, so that no image or call is lost
+            texts = (F.size(parts) > 0) & F.forall(parts, lambda y: _at(y, "text", "string").isNotNull())
+            return F.when(texts, f"{field}[].{name}[].text:value").otherwise(F.concat(F.lit(f"{field}[].{name}:"), _kind(_at(x, name))))
 
-    def inside(name: str) -> Column:
-        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
-        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
+        return F.transform(_at(record, field, "array<variant>"), path)
 
-    return F.concat(top, *map(inside, _LISTS))
+    def elements(field: str) -> Column:
+        own = F.transform(_at(record, field, "array<variant>"), lambda x: F.when(_kind(x) != "object", f"{field}[]:value"))
+        itself = F.array(F.when(_kind(_at(record, field)) != "list", F.concat(F.lit(f"{field}:"), _kind(_at(record, field)))))
+        return F.concat(itself, *(F.coalesce(a, none) for a in (own, *(inside(field, n) for n in _lists()[field]))))
+
+    return F.array_compact(F.concat(F.array(*top), *map(elements, _lists())))
 
 
 def _selected(print_: Column, of, mappings: tuple[Mapping, ...], kind: str) -> Column:
@@ -104,26 +162,39 @@ def _canonical(role: Column) -> Column:
 
 def json_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """``records`` with layout (the mapping's name) and turns."""
-    col = F.col(record)
+    json, print_ = free(records, "__json", "__print")
+    col = F.col(json)
+
+    def own(parts) -> Column:
+        def text(fields: tuple[str, ...]) -> Column:
+            return F.array_join(F.filter(F.array(*(_at(col, f, "string") for f in fields)), lambda x: x.isNotNull() & (x != "")), "\n\n")
+
+        return F.array(*(F.struct(F.lit(role).alias("role"), text(fields).alias("text")) for role, fields in parts)).cast(TURNS)
+
+    def message(x: Column, m: Mapping) -> Column:
+        name, nested, _ = m.text.partition("[]")
+        text = F.array_join(F.transform(_at(x, name, "array<variant>"), lambda y: _at(y, "text", "string")), "") if nested else _at(x, name, "string")
+        return F.struct(_canonical(_at(x, m.role, "string")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
     def turns(m: Mapping) -> Column:
-        if m.list_field:
-            kind = f"struct<`{m.list_field}`:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
-            return F.transform(F.from_json(col, kind)[m.list_field], lambda x: F.struct(_canonical(x[m.role]).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
-        parts = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*(F.get_json_object(col, f"$.{f}") for f in fields)), lambda x: x.isNotNull() & (x != "")), "\n\n").alias("text")) for role, fields in m.parts]
-        return F.array(*parts)
+        if not m.list_field:
+            return own(m.parts)
+        return F.concat(own(m.parts), F.transform(_at(col, m.list_field, "array<variant>"), lambda x: message(x, m)).cast(TURNS), own(m.after))
 
     by_record = tuple(m for m in MAPPINGS if m.list_field or m.parts)
-    print_ = fingerprint(json_paths(col))
-    return records.withColumn("layout", _selected(print_, lambda m: F.lit(m.name), by_record, "string")).withColumn("turns", _selected(print_, turns, by_record, TURNS))
+    read = records.withColumn(json, F.try_parse_json(F.col(record)))
+    read = read.withColumn(print_, fingerprint(json_paths(col)))
+    named = _selected(F.col(print_), lambda m: F.lit(m.name), by_record, "string")
+    return read.withColumn("layout", named).withColumn("turns", _selected(F.col(print_), turns, by_record, TURNS)).drop(json, print_)
 
 
 def row_turns(table: DataFrame, conv_id: str = "conv_id", turn: str = "turn") -> DataFrame:
     """(conv_id, turn, role, text) of a table whose schema's fingerprint has the mapping by rows."""
-    print_ = fingerprint(F.array(*map(F.lit, schema_paths(table.schema))))
+    known = [p for p in schema_paths(table.schema) if p.split(":")[0] in _VOCABULARY]
+    print_ = fingerprint(F.array(*map(F.lit, known)).cast("array<string>"))
     chosen = [m for m in MAPPINGS if not m.list_field and not m.parts]
-    known = F.coalesce(_selected(print_, lambda m: F.lit(True), tuple(chosen), "boolean"), F.lit(False))
-    checked = F.when(known, F.lit(True)).otherwise(F.raise_error(F.lit(f"no mapping for the layout {sorted(schema_paths(table.schema))}")).cast("boolean"))
+    fits = F.coalesce(_selected(print_, lambda m: F.lit(True), tuple(chosen), "boolean"), F.lit(False))
+    checked = F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit(f"no mapping for the layout {sorted(schema_paths(table.schema))}")).cast("boolean"))
     (m,) = chosen
     return table.filter(checked).select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(m.role, F.lit("")).alias("role"), F.coalesce(m.text, F.lit("")).alias("text"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,12 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = table(spark, sf_dir, "conversations")
-    hard = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
-    talk = talk.select("conv_id", "turn", "role", "text").union(spark.createDataFrame(hard, "conv_id long, turn long, role string, text string"))
-    out = written(chat.formatted(chat.row_turns(talk)), "chats")
+    """All conversations, a table of turns, and one that is a JSON record of another layout."""
+    hard = [(-7, json.dumps({"prompt": "</s>[INST] ok [/INST]", "response": "</s>[INST] ok [/INST]"}))]
+    records = chat.json_turns(spark.createDataFrame(hard, "conv_id long, record string"))
+    more = records.select("conv_id", F.posexplode("turns").alias("turn", "said")).select("conv_id", F.col("turn").cast("long").alias("turn"), "said.role", "said.text")
+    turns = chat.row_turns(table(spark, sf_dir, "conversations")).union(more)
+    out = written(chat.formatted(turns), "chats")
     return chat.digests(chat.parsed(out))
 
 

@@ -39,12 +39,26 @@ RECORDS = [
     ('{"output":"o","instruction":"i","input":"x","meta":{"prompt":1}}', "instruction-input", [("user", "i\n\nx"), ("assistant", "o")]),
     ('{"output":"o","instruction":"i","input":""}', "instruction-input", [("user", "i"), ("assistant", "o")]),
     ('{"question":"q","answer":null}', "question-answer", [("user", "q"), ("assistant", "")]),
+    ('{"messages":[{"role":"user"},{"role":"assistant","content":"yo"}]}', "messages", [("user", ""), ("assistant", "yo")]),
+    ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}', "messages-parts", [("user", "ab")]),
+    ('{"messages":[{"role":"user","content":[{"type":"image","url":"x"},{"type":"text","text":"b"}]}]}', None, None),
+    ('{"messages":[{"role":"user","content":{"a":1}}]}', None, None), ('{"messages":["hi"]}', None, None), ('{"messages":[{"role":"user","content":"a"},"hi"]}', None, None),
+    ('{"data":{"messages":[{"role":"user","content":"n"}]}}', "nested-messages", [("user", "n")]),
+    ('{"system":"s","conversations":[{"from":"human","value":"q"}]}', "system-conversations", [("system", "s"), ("user", "q")]),
+    ('{"system":"s","instruction":"i","output":"o"}', "system-instruction", [("system", "s"), ("user", "i"), ("assistant", "o")]),
+    ('{"system":["s"],"prompt":"p","response":"r"}', None, None), ('{"prompt":["p"],"completion":"c"}', None, None), ('{"prompt":{"a":"p"},"completion":"c"}', None, None),
+    ('{"prompt":[{"role":"user","content":"p"}],"completion":"c"}', "prompt-messages", [("user", "p"), ("assistant", "c")]),
+    ('{"prompt":"p","chosen":"c","rejected":"r"}', "prompt-chosen", [("user", "p"), ("assistant", "c")]),
+    ('{"chosen":[{"role":"user","content":"u"},{"role":"assistant","content":"c"}],"rejected":[{"role":"user","content":"u"},{"role":"assistant","content":"r"}]}', "chosen-messages", [("user", "u"), ("assistant", "c")]),
+    ('{"question":"q","answer":42}', "question-answer", [("user", "q"), ("assistant", "42")]), ('{"prompt":"a","prompt":"b","completion":"c"}', None, None), ('["prompt"]', None, None),
     ('{"messages":[]}', None, None), ("not json", None, None), (None, None, None), ("{}", None, None),
 ]
 
 
 def test_layouts_of_json_records(spark):
-    got = C.json_turns(spark.createDataFrame([(k, r) for k, (r, _, _) in enumerate(RECORDS)], "k int, record string")).orderBy("k").collect()
+    frame = spark.createDataFrame([(k, r, "x") for k, (r, _, _) in enumerate(RECORDS)], "k int, record string, __json string")
+    got = C.json_turns(frame).orderBy("k").collect()
+    assert C.json_turns(frame).columns == ["k", "record", "__json", "layout", "turns"] and len({m.paths for m in C.MAPPINGS}) == len(C.MAPPINGS)
     for r, (_, layout, turns) in zip(got, RECORDS, strict=True):
         assert (r.layout, [tuple(t) for t in r.turns] if r.turns is not None else None) == (layout, turns)
 

@@ -8,7 +8,7 @@ the response or revisit.
 Revisits: of the pages whose payloads are equal (by SHA-1) and at least ``least_bytes`` long, the
 one with the largest id is stored and the others refer to it. The winner of a payload is an
 aggregate that Spark combines before its shuffle; the join that brings it back can be split where
-one payload has a large share of all pages.
+one payload has a large share of all pages. Of equal ids with one payload all are stored.
 
 Reading: whole archive files go to tasks; a record ends where its Content-Length says, so payloads
 may hold anything, header lines included. Assembly groups records by the id of their response or
@@ -18,7 +18,8 @@ Defined cases: a null html is an empty payload; an empty payload is stored like
 url is written as an empty target; white space and control characters of a url are percent-encoded;
 rows that repeat a page_id and its payload are separate captures with the same record id, and
 assemble to a row each; records that join no response make a row with a null ``main``; an empty
-table makes no record. Columns other than those named are not read.
+table makes no record; a very long html is one record, in an archive of its own. Columns other than
+those named are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_BYTES = 1000
-#: Captures in an archive file at most; bounds what a reading task holds.
-CAPTURES_A_FILE = 10_000
+#: Captures in an archive file at most.
+CAPTURES_A_FILE = 4_000
+#: Bytes of an archive file before compression at most, but for a single capture that is larger; bounds what a reading task holds.
+BYTES_A_FILE = 256 << 20
 RECORD = "record_id string, type string, target_uri string, concurrent_to string, refers_to string, headers map<string,string>, http_header string, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -80,9 +83,20 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", **names) -> Da
     return rows.select(F.substring(whole, F.lit(1), F.length(whole) - 1).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, **options) -> None:
-    """Write a request, a response or revisit, and a metadata record of each page."""
-    records(pages, **options).write.option("maxRecordsPerFile", CAPTURES_A_FILE).option("lineSep", "\n").option("compression", "gzip").text(path)
+def write_warc(pages: DataFrame, path: str, captures: int = CAPTURES_A_FILE, size: int = BYTES_A_FILE, **options) -> None:
+    """Write a request, a response or revisit, and a metadata record of each page.
+
+    Files are bounded by captures and bytes. A capture of more than its share, ``size / captures``, goes to
+    a folder of its power of two and of its place in the writing task: of so many rows in a row as may
+    all be that large, those that are share a file. So no rows are counted first and none move.
+    """
+    share, length = max(1, size // captures), F.octet_length("value")
+    power = F.ceil(F.log2(length.cast("double"))).cast("int")
+    rows = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(size)) / F.pow(F.lit(2.0), power)).cast("long"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    group = F.when(length <= share, "0").otherwise(F.concat_ws("-", power, F.floor(place / rows).cast("long")))
+    dealt = records(pages, **options).withColumn("part", group)
+    dealt.write.partitionBy("part").option("maxRecordsPerFile", captures).option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -138,7 +152,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield flush(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(read, RECORD)
 
 
 def assemble(found: DataFrame) -> DataFrame:

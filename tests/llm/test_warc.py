@@ -63,3 +63,18 @@ def test_empty_table(spark):
     path = new_path(spark, "w")
     W.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert W.read_warc(spark, path).count() == 0
+
+
+def test_archives_are_bounded_by_captures_and_bytes(spark):
+    sizes = [(n * 37) % 900 + 1 if n % 7 else 3000 + n * 11 for n in range(300)] + [60_000, 60_000]
+    rows = [(n, "u", chr(97 + n % 26) * k) for n, k in enumerate(sizes)]
+    pages, path = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), new_path(spark, "w")
+    W.write_warc(pages, path, captures=10, size=20_000, least_bytes=10**9)
+    found = W.read_warc(spark, path)
+    assert found.filter("type = 'response'").select("payload_bytes").toPandas()["payload_bytes"].sort_values().tolist() == sorted(sizes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect()
+    for f in files:
+        data = gzip.decompress(bytes(f.content))
+        n = sum(h["warc-type"] == "response" for h, _ in W.parse(io.BytesIO(data)))
+        assert n <= 10 and (len(data) <= 20_000 + 10 or n == 1)
+    assert len(files) < 150

@@ -47,7 +47,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    found = warc.resolve(warc.assemble(warc.read_warc(spark, path, payloads=False)))
+    captures = written(warc.assemble(warc.read_warc(spark, path, payloads=False)), "captures")
+    found = warc.resolve(captures)
 
     def page(metadata: str) -> F.Column:
         return F.regexp_extract(F.col(f"{metadata}.payload").cast("string"), r"^page_id: (-?\d+)$", 1).try_cast("long")

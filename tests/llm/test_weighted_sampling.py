@@ -1,7 +1,11 @@
 import hashlib
+import math
+import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 
 from quern.llm import weighted_sampling as W
 
@@ -44,3 +48,35 @@ def test_only_and_no_document(spark):
     one = W.compare_with_edits(spark.createDataFrame([(1, "abc def")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abc dab").hexdigest() and one.near_next == pytest.approx(1.0)
     assert W.compare_with_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def chained(*parts: bytes) -> int:
+    """Spark's xxhash64 of several values: each one's hash is the next one's seed."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p, h)
+    return h
+
+
+def plain_fingerprint(text, samples=W.SAMPLES):
+    """Consistent weighted sampling, a term and a position at a time, with the operator's hashes."""
+    counts, out = Counter(re.findall(r"[^\x20\x09-\x0D]+", text or "")), []
+    for p in range(samples):
+        found = []
+        for word, weight in counts.items():
+            term = struct.pack("<Q", chained(word.encode()))
+            draws = [chained(term, struct.pack("<i", 2 * p + k)) for k in (0, 1)]
+            u = [((draws[d] >> 21 * k & (1 << 21) - 1) + 0.5) / (1 << 21) for d, k in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 1))]
+            r, c, b = -math.log(u[0] * u[1]), -math.log(u[2] * u[3]), u[4]
+            t = math.floor(math.log(weight) / r + b)
+            y = math.exp(r * (t - b))
+            found.append((c / (y * math.exp(r)), word, chained(term, struct.pack("<q", t), struct.pack("<i", p)) % (1 << 24)))
+        out.append(f"{min(found)[2]:06x}" if found else W.EMPTY)
+    return "".join(out)
+
+
+def test_fingerprints_are_those_of_a_plain_sampler(spark):
+    texts = [*TEXTS.values(), "x", "x x x", " ".join(f"w{i % 17} v{i % 5} u{i}" for i in range(400)), "é " * 1000 + "e"]
+    prints = W.fingerprints(spark.createDataFrame(list(enumerate(texts)), "k int, x string"), ["k"], ["x"])
+    got = {r.k: r.x_fp for r in prints.collect()}
+    assert [got[k] for k in range(len(texts))] == [plain_fingerprint(t) for t in texts]

@@ -1,6 +1,6 @@
 """Chat formatting with schema fingerprints.
 
-A record's layout is the set of its nested field paths with their kinds (value, list, object), out of
+A record's layout is the set of its nested field paths with their kinds (value, array, object), out of
 a known vocabulary, so extra fields do not matter, but a known field of another kind does. The sorted
 paths are hashed; the hash selects a declarative mapping that turns the record into canonical turns
 (role, text). Layouts of typed tables are hashed from their schema, those of JSON records row by row
@@ -57,7 +57,7 @@ def _fields(name: str, *parts: tuple[str, tuple[str, ...]]) -> Mapping:
 
 def _list(name: str, field: str, role: str, text: str, parts=(), after=(), others: tuple[str, ...] = ()) -> Mapping:
     paths = _values(f"{field}[].{role}", f"{field}[].{text}", *(f for _, fields in (*parts, *after) for f in fields))
-    return Mapping(name, paths + others, field, role, text, tuple(parts), tuple(after))
+    return Mapping(name, (f"{field}:array", *paths, *others), field, role, text, tuple(parts), tuple(after))
 
 
 _SYSTEM = ("system", ("system",))
@@ -71,7 +71,7 @@ MAPPINGS = (
     _list("system-conversations", "conversations", "from", "value", parts=(_SYSTEM,)),
     _list("turns", "turns", "role", "text"),
     _list("prompt-messages", "prompt", "role", "content", after=(("assistant", ("completion",)),)),
-    _list("chosen-messages", "chosen", "role", "content", others=_values("rejected[].role", "rejected[].content")),
+    _list("chosen-messages", "chosen", "role", "content", others=("rejected:array", *_values("rejected[].role", "rejected[].content"))),
     Mapping("prompt-chosen", _values("prompt", "chosen", "rejected"), parts=(("user", ("prompt",)), ("assistant", ("chosen",)))),
     _fields("prompt-completion", ("user", ("prompt",)), ("assistant", ("completion",))),
     _fields("prompt-response", ("user", ("prompt",)), ("assistant", ("response",))),
@@ -85,7 +85,7 @@ MAPPINGS = (
 #: Speakers' names in layouts that have their own.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 #: Field names of all mappings, their lists included.
-_VOCABULARY = sorted({p.split(":")[0] for m in MAPPINGS for p in m.paths} | {p.split("[]")[0] for m in MAPPINGS for p in m.paths if "[]" in p})
+_VOCABULARY = sorted({p.split(":")[0] for m in MAPPINGS for p in m.paths})
 
 
 def _lists() -> dict[str, list[str]]:
@@ -119,15 +119,14 @@ def _at(x: Column, path: str, kind: str = "variant") -> Column:
 
 
 def _kind(x: Column) -> Column:
-    """value, list or object; null where there is nothing. A JSON null is a value."""
-    schema = F.schema_of_variant(x)
-    return F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "list").when(schema.isNotNull(), "value")
+    """value, array or object; null where there is nothing. A JSON null is a value."""
+    return F.lower(F.regexp_extract(F.regexp_replace(F.schema_of_variant(x), r"(?s)^(?!OBJECT|ARRAY).*$", "value"), "^[A-Za-z]+", 0))
 
 
 def json_paths(record: Column) -> Column:
     """Field paths, with their kinds, of the vocabulary in a JSON object (a variant), over all elements of known lists."""
     none = F.array().cast("array<string>")
-    top = [F.concat(F.lit(f"{p}:"), _kind(_at(record, p))) for p in _VOCABULARY if "[]" not in p and p not in _lists()]
+    top = [F.concat(F.lit(f"{p}:"), _kind(_at(record, p))) for p in _VOCABULARY if "[]" not in p]
 
     def inside(field: str, name: str) -> Column:
         def path(x: Column) -> Column:
@@ -140,8 +139,7 @@ def json_paths(record: Column) -> Column:
 
     def elements(field: str) -> Column:
         own = F.transform(_at(record, field, "array<variant>"), lambda x: F.when(_kind(x) != "object", f"{field}[]:value"))
-        itself = F.array(F.when(_kind(_at(record, field)) != "list", F.concat(F.lit(f"{field}:"), _kind(_at(record, field)))))
-        return F.concat(itself, *(F.coalesce(a, none) for a in (own, *(inside(field, n) for n in _lists()[field]))))
+        return F.concat(*(F.coalesce(a, none) for a in (own, *(inside(field, n) for n in _lists()[field]))))
 
     return F.array_compact(F.concat(F.array(*top), *map(elements, _lists())))
 

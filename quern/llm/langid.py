@@ -8,9 +8,10 @@ A text is rejected if it is farther from that centroid than texts of the languag
 are: the limit is ``slack`` of a low quantile of the sample's cosines, by length. Lengths are powers
 of two of n-grams; the sample's texts give their first 1, 2, 4, ... words and their whole.
 
-Fitting gathers at most ``per_language`` sparse vectors a language on the driver, of those rows
-whose keys hash lowest; rows that cannot be among them are left out where they are read, by a limit
-on the hash from each label's number of rows. Predicting reads whole texts where they are, a very
+Fitting gathers at most ``per_language`` sparse vectors a language on the driver, one a text of those
+rows whose keys hash lowest; rows that cannot be among them are left out where they are read, by a
+limit on the hash from each label's number of rows. The sample is written to the shared folder;
+lengths are measured where it is read again. Predicting reads whole texts where they are, a very
 long one in pieces that end between words. No row is shuffled.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import free, release
+from .storage import free, release, written
 from .tokenize import pieces
 
 PLACES_LOG2 = 13
@@ -110,6 +111,12 @@ class Model:
         v = (1 + np.log(n)) * self.idf[places]
         return (v / np.linalg.norm(v)).astype(np.float32)
 
+    def vectors(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        x = np.zeros((len(bags), len(self.idf)), np.float32)
+        for row, (p, n) in zip(x, bags, strict=True):
+            row[p] = self.vector(p, n)
+        return x
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         places, n = counts(text)
         if not len(places) or not self.languages:
@@ -160,35 +167,58 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", key: str = "do
     order = Window.partitionBy("label").orderBy("place", "key")
     sample = keys.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("label", "key")
 
+    # the sample has a bounded number of rows a label; it is read twice
+    chosen = written(named.join(F.broadcast(sample), ["key", "label"]).select("label", "text"), "language-sample")
+
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, place, n, part = [], [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, piece in enumerate((text, *first_words(text))):
-                    places, found = counts(piece)
-                    label.append(name), place.append(places), n.append(found), part.append(k > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(place, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64())), pa.array(part, pa.bool_())], ["label", "places", "n", "part"])
-
-    # the sample has a bounded number of rows a label
-    chosen = named.join(F.broadcast(sample), ["key", "label"])
-    got = chosen.select("label", "text").mapInArrow(featured, "label string, places array<int>, n array<long>, part boolean").filter("size(places) > 0").toArrow()
-    every = [(name, part, (p.values.to_numpy(), n.values.to_numpy())) for name, p, n, part in zip(got["label"].to_pylist(), got["places"], got["n"], got["part"].to_pylist(), strict=True)]
-    labels, bags = [name for name, part, _ in every if not part], [bag for _, part, bag in every if not part]
+            place, n = zip(*(counts(text) for text in batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["label", "places", "n"])
+
+    got = chosen.mapInArrow(featured, "label string, places array<int>, n array<int>").filter("size(places) > 0").toArrow()
+    labels = got["label"].to_pylist()
+    bags = [(p.values.to_numpy(), n.values.to_numpy()) for p, n in zip(got["places"], got["n"], strict=True)]
     dims = 1 << PLACES_LOG2
     frequency = np.bincount(np.concatenate([p for p, _ in bags]), minlength=dims) if bags else np.zeros(dims)
     model = Model([], np.zeros((0, dims), np.float32), np.log((1 + len(bags)) / (1 + frequency)) + 1, np.zeros((0, LENGTHS)))
     for name in sorted(set(labels)):
-        x = np.zeros((labels.count(name), dims), np.float32)
-        for row, (p, n) in zip(x, (b for b, own in zip(bags, labels, strict=True) if own == name), strict=True):
-            row[p] = model.vector(p, n)
-        c = _clusters(x, k)
-        near = [(length(n), float((c[:, p] @ model.vector(p, n)).max())) for own, _, (p, n) in every if own == name]
+        c = _clusters(model.vectors([b for b, own in zip(bags, labels, strict=True) if own == name]), k)
         model.languages += [name] * len(c)
         model.centroids = np.concatenate([model.centroids, c])
-        model.least = np.concatenate([model.least, np.tile(limits(near, slack), (len(c), 1))])
+    del got, bags
+    model.least = np.zeros((len(model.languages), LENGTHS))
+    near: dict[str, list[tuple[int, float]]] = {name: [] for name in labels}
+    found = measured(chosen, model).toArrow()
+    for name, at, cosine in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        near[name].append((at, cosine))
+    for name, cosines in near.items():
+        model.least[[j for j, own in enumerate(model.languages) if own == name]] = limits(cosines, slack)
+    release()
     return model
 
 
+def measured(chosen: DataFrame, model: Model) -> DataFrame:
+    """(label, length, cosine) of the sample's texts and their first words, by the label's nearest centroid.
+
+    They are measured where they are: only these numbers come to the driver, no n-grams of first words.
+    """
+    own = {name: model.centroids[[j for j, x in enumerate(model.languages) if x == name]] for name in set(model.languages)}
+    vector = model.vector
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, at, cosine = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece in (text, *first_words(text)):
+                    p, n = counts(piece)
+                    if len(p):
+                        label.append(name), at.append(length(n)), cosine.append(float((own[name][:, p] @ vector(p, n)).max()))
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(at, pa.int32()), pa.array(cosine, pa.float64())], ["label", "length", "cosine"])
+        release()
+
+    return chosen.mapInArrow(measure, "label string, length int, cosine double")
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected.
 

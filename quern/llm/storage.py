@@ -42,6 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    release_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +67,27 @@ def release() -> None:
         pass
 
 
+def release_driver(spark: SparkSession) -> bool:
+    """Give memory that the driver no longer uses back to the system: its Python's, and what its JVM took outside the heap.
+
+    Planning and compiling many queries leaves much of the latter free, but still held. A JVM that cannot return it (before 17.0.9) keeps it: False.
+    """
+    from py4j.protocol import Py4JError
+
+    release()
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # by reflection: the server's own class is not open to callers
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        given, kinds, values = new_array(jvm.java.lang.Object, 1), new_array(jvm.java.lang.String, 1), new_array(jvm.java.lang.Object, 4)
+        given[0], kinds[0] = new_array(jvm.java.lang.String, 0), "[Ljava.lang.String;"
+        values[0], values[1], values[2], values[3] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", given, kinds
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
+
+
 def free(docs: DataFrame, *names: str) -> tuple[str, ...]:
     """``names``, with as many underscores added as make them no columns of ``docs``."""
     taken, tail = {c.lower() for c in docs.columns}, ""

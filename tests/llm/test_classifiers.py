@@ -4,7 +4,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from quern.llm import entries, langid, toxicity
+from quern.llm import entries, langid, storage, toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -46,6 +46,30 @@ def test_foreign_and_random_texts_are_rejected(spark, model):
     assert sum(model.predict(t)[2] for t in docs) <= 0.005 * len(docs)
 
 
+def test_the_driver_gets_one_vector_a_text(spark, monkeypatch):
+    """Of first words only lengths and cosines come to the driver, and the limits are those of a plain computation."""
+    docs, got = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    kind = type(docs)
+    monkeypatch.setattr(kind, "toArrow", lambda self, plain=kind.toArrow: got.append(plain(self)) or got[-1])
+    model = langid.fit(docs)
+    sample = {(r.lang, r.doc_id, r.text) for r in docs.collect() if r.lang and r.text}
+    assert 0 < len(sample) < langid.PER_LANGUAGE
+    bags = [(lang, langid.counts(piece)) for lang, _, text in sample for piece in (text, *langid.first_words(text))]
+    whole = sum(len(langid.counts(text)[0]) for _, _, text in sample)
+    assert sum(t.nbytes for t in got) <= 8 * whole + 64 * len(bags)
+    for lang in {lang for lang, _ in bags}:
+        mine = [k for k, own in enumerate(model.languages) if own == lang]
+        cosines = [(langid.length(n), float((model.centroids[mine][:, p] @ model.vector(p, n)).max())) for own, (p, n) in bags if own == lang and len(p)]
+        assert np.allclose(model.least[mine], langid.limits(cosines, langid.SLACK), atol=1e-6)
+
+
+def test_the_driver_gives_memory_back_after_each_table(spark, monkeypatch):
+    calls, plain = [], storage.release_driver
+    monkeypatch.setattr(storage, "release_driver", lambda s: calls.append(plain(s)))
+    assert storage.written(spark.range(3), "test-release").count() == 3
+    assert calls == [True]
+
+
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
     model = langid.fit(none)

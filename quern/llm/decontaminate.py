@@ -117,8 +117,13 @@ def _windows(rows: DataFrame, keep: list[str], window: int, widths: list[int] |
     return cut.filter(counts).select(*keep, "form", "width", "at", F.xxhash64("form", "width", _kinds(F.col("words"))).alias("hash"), "words")
 
 
+def _few(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of the benchmark's side, written as a file a core at most, however many partitions shuffles have; none is dropped."""
+    return written(rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)), name)
+
+
 def _anchored(own: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    """(anchors, needs) of the benchmark's windows.
+    """(anchors, needs) of the benchmark's windows, both written.
 
     anchors: (item_id, form, n, hash, anchor), the anchors of each distinct window for the item's n;
     needs: (item_id, form, n, need), the number of windows with anchors that must be found; n 0: no length gives a need.
@@ -133,12 +138,12 @@ def _anchored(own: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
         return F.array_distinct(F.filter(F.transform(places, lambda i: F.when(whole(i), F.xxhash64(*(F.get("words", i + k) for k in range(n))))), lambda h: h.isNotNull()))
 
     each = marked.select("item_id", "form", "hash", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), grams(n).alias("grams")) for n in ANCHORS))).alias("x")).select("item_id", "form", "hash", "x.*")
-    each = written(each, "item-anchors")
+    each = _few(each, "item-anchors")
     need = F.ceil(F.lit(share) * F.count("*")) - F.count_if(F.size("grams") == 0)
     needs = each.groupBy("item_id", "form", "n").agg(need.alias("need")).groupBy("item_id", "form").agg(F.max(F.when(F.col("need") > 0, F.struct("n", "need"))).alias("best"))
-    needs = needs.select("item_id", "form", F.coalesce("best.n", F.lit(0)).alias("n"), F.coalesce("best.need", F.lit(0)).alias("need"))
+    needs = _few(needs.select("item_id", "form", F.coalesce("best.n", F.lit(0)).alias("n"), F.coalesce("best.need", F.lit(0)).alias("need")), "item-needs")
     chosen = each.join(needs.select("item_id", "form", "n"), ["item_id", "form", "n"])
-    return chosen.select("item_id", "form", "n", "hash", F.size("grams").alias("parts"), F.explode("grams").alias("anchor")), needs
+    return _few(chosen.select("item_id", "form", "n", "hash", F.size("grams").alias("parts"), F.explode("grams").alias("anchor")), "anchors"), needs
 
 
 def candidates(docs: DataFrame, own: DataFrame, share: float, broadcast_windows: int) -> DataFrame | None:
@@ -146,7 +151,7 @@ def candidates(docs: DataFrame, own: DataFrame, share: float, broadcast_windows:
 
     ``own``: the benchmark's windows.
     """
-    anchors, needs = (written(x, "anchors") for x in _anchored(own, share))
+    anchors, needs = _anchored(own, share)
     lengths = sorted(r.n for r in needs.select("n").distinct().collect())  # of ANCHORS
     if not lengths or lengths[0] == 0:
         return None if lengths else docs.select("doc_id").limit(0)
@@ -183,7 +188,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     ``exact``: no slot of the matched windows differs.
     """
     # a repeated window of an item is kept at each place, for alignments; it counts once in the share
-    own = written(_windows(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), ["item_id"], window).distinct(), "item-windows")
+    own = _few(_windows(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), ["item_id"], window).distinct(), "item-windows")
     sizes = own.groupBy("item_id", "form").agg(F.countDistinct("hash").alias("windows"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = candidates(rows, own, share, broadcast_windows)

@@ -215,3 +215,30 @@ def test_every_leak_is_a_candidate(spark, monkeypatch):
     got = sorted(map(tuple, D.leaks(docs, items).collect()))
     monkeypatch.setattr(D, "candidates", lambda *_: None)
     assert got and got == sorted(map(tuple, D.leaks(docs, items).collect()))
+
+
+def test_benchmark_tables_are_few_files(spark, monkeypatch):
+    """However many partitions shuffles have, the benchmark's own tables are a file a core at most, and the rows stay."""
+    kept = {}
+
+    def written(df, name, real=D.written):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(D, "written", written)
+    docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, D.leaks(docs, items).collect()))
+    rows = {k: sorted(map(str, v.collect())) for k, v in kept.items()}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert sorted(map(tuple, D.leaks(docs, items).collect())) == want
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert want and set(kept) == {"item-windows", "item-anchors", "item-needs", "anchors", "candidates"}
+    for name in set(kept) - {"candidates"}:
+        assert len(kept[name].inputFiles()) <= spark.sparkContext.defaultParallelism
+        if name in ("item-windows", "item-needs"):
+            assert sorted(map(str, kept[name].collect())) == rows[name]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 
@@ -23,7 +24,12 @@ PIECE = 1 << 20
 _SPACE = "\t\n\v\f\r "
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Byte-level models write bytes that are no visible Latin-1 characters as those from U+0100, in order.
-_BYTE_LEVEL = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+_ABOVE = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+#: The character of each byte.
+_BYTE_LEVEL = "".join(chr(_ABOVE.get(b, b)) for b in range(256))
+#: What packs so many ids.
+_PACKS = 16
+_PACK = [Struct(f"<{n}I").pack for n in range(_PACKS)]
 #: Texts that show what a tokenizer does with white space, case and punctuation.
 _PROBES = (
     "a bc  de, f-g\n1.2 h", "\t it's ÉO (x) ñandú 7%\r\n", "zz <|y|> !! ?a", "Word, word. WORD... \"Zebra\" zebra' zebras' it's, end;) Unbelievable!? _a a_ a_, internationalisation: qqxjzk'",
@@ -79,7 +85,7 @@ class WordEncoder:
     def _apart(self, word: bytes) -> bool:
         """Whether the parts of a probe have the ids of the whole."""
         core, rest = self._parts(word)
-        return core is None or self._ids(word.decode()) == [k.id for k in self.model.tokenize(core.decode("latin-1").translate(_BYTE_LEVEL))] + self._ids(rest.decode())
+        return core is None or self._ids(word.decode()) == [k.id for k in self.model.tokenize(charmap_decode(core, "strict", _BYTE_LEVEL)[0])] + self._ids(rest.decode())
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -97,31 +103,43 @@ class WordEncoder:
             memo.clear()
             self.held, missing = 0, distinct
         long = {w for w in missing if len(w) > LONGEST_WORD}
-        self._learn(missing - long)
+        self._learn(missing - long if long else missing)
         if not long:
             return b"".join(map(memo.__getitem__, words))
         return b"".join(np.array(self._ids(w.decode()), "<u4").tobytes() if w in long else memo[w] for w in words)
 
     def _learn(self, missing: set[bytes]) -> None:
-        """Put the ids of ``missing`` in the memo."""
-        memo, whole, cores, split = self.memo, [], [], []
+        """Put the ids of ``missing`` in the memo. Most words of a corpus are rare, so this is what encoding costs."""
+        if not self.by_letters:
+            self._learn_whole(list(missing))
+            return
+        memo, wide, tokenize, held, whole, split = self.memo, self._wide, self.model.tokenize, 0, [], []
         for w in missing:
-            core, rest = self._parts(w) if self.by_letters else (None, b"")
+            letters = w.rstrip(_PUNCTUATION)
+            core = letters.lower() if letters.isalpha() else wide(letters)  # of ASCII
             if core is None:
                 whole.append(w)
                 continue
-            if core not in memo:
-                memo[core] = b""
-                cores.append(core)
-            if rest and rest not in memo:
-                memo[rest] = b""
-                whole.append(rest)
-            if core != w:
-                split.append((w, core, rest))
-        tokenize = self.model.tokenize
-        for core in cores:
-            ids = [k.id for k in tokenize(core.decode("latin-1").translate(_BYTE_LEVEL))]
-            self._put(core, pack(f"<{len(ids)}I", *ids))
+            if core in memo:
+                ids = memo[core]
+            else:
+                found = [k.id for k in tokenize(charmap_decode(core, "strict", _BYTE_LEVEL)[0])]
+                n = len(found)
+                memo[core] = ids = _PACK[n](*found) if n < _PACKS else pack(f"<{n}I", *found)
+                held += len(core) + 4 * n + ENTRY_BYTES
+            if letters != w:
+                split.append((w, ids, w[len(letters) :]))
+            elif core != w:
+                memo[w] = ids
+                held += len(w) + len(ids) + ENTRY_BYTES
+        self._learn_whole([*whole, *{rest for _, _, rest in split if rest not in memo}])
+        for w, ids, rest in split:
+            memo[w] = ids = ids + memo[rest]
+            held += len(w) + len(ids) + ENTRY_BYTES
+        self.held += held
+
+    def _learn_whole(self, whole: list[bytes]) -> None:
+        """Put the ids of ``whole`` in the memo, by the whole tokenizer."""
         for at in range(0, len(whole), TOGETHER):
             part = [w.decode() for w in whole[at : at + TOGETHER]]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -129,24 +147,22 @@ class WordEncoder:
             starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
             cuts, data = (4 * np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in part)]))).tolist(), ids.tobytes()
             for w, a, b in zip(whole[at : at + TOGETHER], cuts[:-1], cuts[1:], strict=True):
-                self._put(w, data[a:b])
-        for w, core, rest in split:
-            self._put(w, memo[core] + memo[rest] if rest else memo[core])
+                self.memo[w] = data[a:b]
+                self.held += len(w) + b - a + ENTRY_BYTES
 
     @staticmethod
-    def _parts(word: bytes) -> tuple[bytes | None, bytes]:
-        """A word of letters before U+0250 as these, lower-case, and the ASCII punctuation that ends it; (None, b"") for another."""
-        letters = word.rstrip(_PUNCTUATION)
-        if letters.isalpha():  # of ASCII
-            return letters.lower(), word[len(letters) :]
+    def _wide(letters: bytes) -> bytes | None:
+        """Letters before U+0250, not all of ASCII, as lower-case; None for others."""
         text = letters.decode()
         if not text.isalpha() or max(text) >= "\u0250" or "\u0130" in text:
-            return None, b""
-        return text.lower().encode(), word[len(letters) :]
+            return None
+        return text.lower().encode()
 
-    def _put(self, word: bytes, ids: bytes) -> None:
-        self.memo[word] = ids
-        self.held += len(word) + len(ids) + ENTRY_BYTES
+    def _parts(self, word: bytes) -> tuple[bytes | None, bytes]:
+        """A word of letters before U+0250 as these, lower-case, and the ASCII punctuation that ends it; (None, b"") for another."""
+        letters = word.rstrip(_PUNCTUATION)
+        core = letters.lower() if letters.isalpha() else self._wide(letters)
+        return (None, b"") if core is None else (core, word[len(letters) :])
 
 
 @lru_cache(maxsize=1)

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -84,3 +85,21 @@ def test_other_tokenizers_are_encoded_whole():
     encoder, text = WordEncoder(path), "it keeps  white space\n\tas it is"
     assert not encoder.by_words
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_take_few_calls():
+    """Most words of a corpus are rare: learning one, in two forms, takes few calls, and gives the ids of the whole text."""
+    rng, encoder, calls = random.Random(3), WordEncoder(PATH), [0]
+    words = ["".join(rng.choices("abcdefghiklmnoprstuéñ", k=9)) for _ in range(3000)]
+    text = " ".join(f"{w} {w.title()}" for w in words) + " " + ", ".join(words[:50]) + " " + "longer" * 20
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = encoder.encode([text])[0]
+    finally:
+        sys.setprofile(None)
+    assert np.frombuffer(found, "<u4").tolist() == plain_ids(text)
+    assert calls[0] < 24 * len(words), calls[0] / len(words)
